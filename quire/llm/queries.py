@@ -6,22 +6,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import jaccard_join
+from quire.llm import decontaminate, jaccard_join, language_id, line_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_common_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_language_id": op6_language_id,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT k, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+h AS (SELECT *, trim(regexp_replace(lower(line), '[ \\t\\r\\f]+', ' ', 'g'), ' ') AS norm FROM l),
+c AS (SELECT norm FROM h WHERE norm <> '' AND doc_id IS NOT NULL GROUP BY norm HAVING count(DISTINCT doc_id) > 10),
+kept AS (SELECT k, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM h WHERE norm NOT IN (SELECT norm FROM c) GROUP BY k)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(len(ls), 0)::INT AS n_lines, (coalesce(len(ls), 0) - coalesce(kept.n, 0))::INT AS n_dropped
+FROM d LEFT JOIN kept USING (k)
+""",
+    "op4_decontamination": """
+WITH dw AS (SELECT row_number() OVER () AS t, doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+ds AS (SELECT t, doc_id, unnest(range(1, len(ws) - 1)) AS pos, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM dw WHERE len(ws) >= 3),
+iw AS (SELECT row_number() OVER () AS u, item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT DISTINCT u, item_id, len(ws) - 2 AS width, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM iw WHERE len(ws) >= 3),
+n AS (SELECT u, count(*) AS s FROM i GROUP BY u),
+p AS (SELECT t, doc_id, u, item_id, width, s, pos, g FROM ds JOIN i USING (g) JOIN n USING (u)),
+few AS (SELECT t, u FROM p GROUP BY t, u, s HAVING count(DISTINCT g) >= ceil(s * 0.6 - 1e-9)),
+w AS (SELECT x.t, x.doc_id, x.u, x.item_id, x.s, x.pos, count(DISTINCT y.g) AS held
+      FROM p x SEMI JOIN few ON x.t = few.t AND x.u = few.u JOIN p y ON x.t = y.t AND x.u = y.u AND y.pos >= x.pos AND y.pos < x.pos + x.width GROUP BY ALL)
+SELECT doc_id, item_id, round(max(held / s), 6) AS containment FROM w WHERE held >= ceil(s * 0.6 - 1e-9) GROUP BY doc_id, item_id
+""",
     "op5_jaccard_join": """
 WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
