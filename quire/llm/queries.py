@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, jaccard_join, language_id, line_dedup
+from quire.llm import decontaminate, jaccard_join, language_id, line_dedup, pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
+    "op7_sentencepiece": op7_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
