@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, jaccard_join, language_id, line_dedup, pieces, toxicity
+from quire.llm import decontaminate, html, jaccard_join, language_id, line_dedup, pieces, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_common_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +48,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
@@ -57,6 +67,7 @@ kept AS (SELECT k, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n F
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(len(ls), 0)::INT AS n_lines, (coalesce(len(ls), 0) - coalesce(kept.n, 0))::INT AS n_dropped
 FROM d LEFT JOIN kept USING (k)
 """,
+    "op3_quality_rules": quality.oracle(),
     "op4_decontamination": """
 WITH dw AS (SELECT row_number() OVER () AS t, doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 ds AS (SELECT t, doc_id, unnest(range(1, len(ws) - 1)) AS pos, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM dw WHERE len(ws) >= 3),
