@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, html, jaccard_join, language_id, licenses, line_dedup, pieces, quality, toxicity
+from quire.llm import chat, decontaminate, html, jaccard_join, language_id, licenses, line_dedup, pieces, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return chat.parse(chat.transcripts(conversations), chat.train(conversations))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_license_scan": op8_license_scan,
+    "op9_chat_format": op9_chat_format,
     "op10_toxicity": op10_toxicity,
 }
 
