@@ -56,9 +56,9 @@ def _hits(wanted: np.ndarray, n: int):
                 some = some[wanted[where] == h[some]]
                 size = np.bincount(doc, minlength=len(texts))
                 start = np.cumsum(size) - size
-                place = np.arange(len(words), dtype=np.uint64) * tokens.BASE
-                key = np.zeros(len(texts), np.uint64)
-                np.add.at(key, doc[some], tokens.mix(h[some] + place[some - start[doc[some]]]))
+                # every shingle counts for the key, so that it is the same in every pass
+                total = np.r_[np.uint64(0), np.cumsum(tokens.mix(h + (np.arange(len(h)) - start[doc]).astype(np.uint64) * tokens.BASE))]
+                key = total[start + size] - total[start]
                 d = doc[some]
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(d + at)), pa.array(key[d].view(np.int64)), pa.array(size[d]), pa.array(some - start[d]), pa.array(h[some].view(np.int64))],
