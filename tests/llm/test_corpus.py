@@ -164,7 +164,7 @@ def test_heads_are_connected_components(spark):
 
 
 def toxic_corpus(rng, n=1500):
-    bad, common = [f"bad{k}" for k in range(12)], [f"c{k}" for k in range(300)]
+    bad, common = [f"bad{k}" for k in range(12)], [f"c{k}" for k in range(1500)]
     data, labels = [], []
     for k in range(n):
         w, toxic = [rng.choice(common) for _ in range(40)], k % 8 == 0
