@@ -173,7 +173,8 @@ STOP = {
 def language(text: Column) -> Column:
     """The language whose stop words occur most, the first by name of equal ones; en for texts of under 20 characters or without any."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}]+"), F.lit(0))
-    hits = {k: F.size(F.filter(found, lambda w, s=v: w.isin(s))) for k, v in STOP.items()}
+    of = lambda stop: F.size(F.filter(found, lambda w: w.isin(stop)))
+    hits = {k: of(v) for k, v in STOP.items()}
     best = F.greatest(*hits.values())
     out = F.when((F.length(text) < 20) | (best == 0), "en")
     for k, n in hits.items():
