@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.runtime import prepare
 
@@ -166,7 +167,7 @@ def contents_candidates(contents: DataFrame, pages: DataFrame) -> DataFrame:
 # -- sections
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two titles."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
