@@ -73,7 +73,7 @@ def save(tables: dict[str, DataFrame], folder: str) -> None:
     """Each table as Parquet, sorted so that readers of one document or range skip the rest."""
     for name, df in tables.items():
         keys = [c for c in ("doc_id", "start", "position", "page_index") if c in df.columns]
-        df.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{folder}/{name}")
+        (df.sortWithinPartitions(*keys) if keys else df).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def load(spark: SparkSession, folder: str, names: Iterable[str] = TABLES) -> dict[str, DataFrame]:
