@@ -244,8 +244,8 @@ def validate(s: DataFrame, rules: Iterable[Validator] = tuple(VALIDATORS.values(
 
 def structure_confidence(s: DataFrame, issues: DataFrame) -> DataFrame:
     """doc_id, confidence: mean of the sections, more with an outline, less for every issue."""
-    base = s.groupBy("doc_id").agg(F.avg("confidence").alias("base"), F.max((F.col("source") == OUTLINE).cast("int")).alias("outlined"))
-    fine = issues.groupBy("doc_id").agg(F.sum(F.when(F.col("severity") == "warning", 0.05).otherwise(0.02)).alias("fine"))
+    base = s.groupBy("doc_id").agg((F.sum(F.round(F.col("confidence") * 1e6).cast("long")) / F.count("*") / 1e6).alias("base"), F.max((F.col("source") == OUTLINE).cast("int")).alias("outlined"))
+    fine = issues.groupBy("doc_id").agg((F.sum(F.when(F.col("severity") == "warning", 5).otherwise(2)) / 100).alias("fine"))
     value = F.when(F.col("outlined") == 1, F.least(F.lit(1.0), F.col("base") + 0.05)).otherwise(F.col("base")) - F.coalesce("fine", F.lit(0.0))
     return base.join(fine, "doc_id", "left").select("doc_id", F.round(F.greatest(F.lit(0.0), value), 6).alias("confidence"))
 

@@ -57,7 +57,7 @@ def classes(pages: DataFrame) -> DataFrame:
 
 def corpus_statistics(pages: DataFrame) -> DataFrame:
     """Totals of each document and, with a null doc_id, of the corpus, in one pass."""
-    return pages.rollup("doc_id").agg(F.count("*").alias("n_pages"), F.sum("n_words").alias("n_words"), F.round(F.avg("garbage"), 9).alias("garbage"), F.count_if(F.col("verdict") == "BAD").alias("bad"))
+    return pages.rollup("doc_id").agg(F.count("*").alias("n_pages"), F.sum("n_words").alias("n_words"), (F.sum(F.round(F.col("garbage") * 1e6).cast("long")) / F.count("*") / 1e6).alias("garbage"), F.count_if(F.col("verdict") == "BAD").alias("bad"))
 
 
 def summary(pages: DataFrame) -> DataFrame:

@@ -173,8 +173,8 @@ def validate_title(t: Tables) -> DataFrame:
 
 
 @query("structure_confidence", f"""SELECT doc_id, round(greatest(0.0, CASE WHEN outlined THEN least(1.0, base + 0.05) ELSE base END - coalesce(fine, 0)), 6)::DOUBLE AS confidence
-    FROM (SELECT doc_id, avg(confidence) AS base, bool_or(source = 'outline') AS outlined FROM ({_LOOSE}) GROUP BY doc_id) LEFT JOIN (
-    SELECT doc_id, sum(CASE WHEN severity = 'warning' THEN 0.05::DOUBLE ELSE 0.02::DOUBLE END) AS fine FROM ({_ALL}) GROUP BY doc_id) USING (doc_id)""")
+    FROM (SELECT doc_id, sum(round(confidence * 1e6)::BIGINT)::BIGINT / count(*) / 1e6 AS base, bool_or(source = 'outline') AS outlined FROM ({_LOOSE}) GROUP BY doc_id) LEFT JOIN (
+    SELECT doc_id, sum(CASE WHEN severity = 'warning' THEN 5 ELSE 2 END)::BIGINT / 100 AS fine FROM ({_ALL}) GROUP BY doc_id) USING (doc_id)""")
 def structure_confidence(t: Tables) -> DataFrame:
     loose = _loose(t)
     return st.structure_confidence(loose, st.validate(loose))

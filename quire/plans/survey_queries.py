@@ -54,7 +54,7 @@ def class_summary(t: Tables) -> DataFrame:
     return survey.classes(page_quality(t))
 
 
-@query("corpus_statistics", f"SELECT doc_id, count(*) AS n_pages, sum(n_words)::BIGINT AS n_words, round(avg(garbage), 9) AS garbage, count(*) FILTER (WHERE verdict = 'BAD') AS bad FROM ({_QUALITY}) GROUP BY ROLLUP (doc_id)")
+@query("corpus_statistics", f"SELECT doc_id, count(*) AS n_pages, sum(n_words)::BIGINT AS n_words, sum(round(garbage * 1e6)::BIGINT)::BIGINT / count(*) / 1e6 AS garbage, count(*) FILTER (WHERE verdict = 'BAD') AS bad FROM ({_QUALITY}) GROUP BY ROLLUP (doc_id)")
 def corpus_statistics(t: Tables) -> DataFrame:
     return survey.corpus_statistics(page_quality(t))
 
