@@ -66,8 +66,11 @@ def is_foreign(word: Column) -> Column:
 # -- marks of scanning
 
 
+_LOW = "[a-z]+"
+#: Capitals within a word.
+CAPS = f"{_LOW}[A-Z]+{_LOW}"
 MARKS = {
-    "mid_word_caps": "(^|[^\\p{L}\\p{N}_])[a-z]+[A-Z]+[a-z]+",
+    "mid_word_caps": "(^|[^\\p{L}\\p{N}_])" + CAPS,
     "digits_in_words": "(^|[^\\p{L}\\p{N}_])[a-zA-Z]+[0-9]+[a-zA-Z]+",
     "broken_hyphenation": "[\\p{L}\\p{N}_]+-[ \\t\\n\\r\\f]+[\\p{L}\\p{N}_]+",
     "double_punctuation": "[.,;:]{2,}",

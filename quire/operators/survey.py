@@ -20,7 +20,7 @@ def page_quality(pages: DataFrame) -> DataFrame:
     issues = F.array_compact(
         F.array(
             F.when(F.col("n_words") == 0, "blank"),
-            F.when(has("[a-z]+[A-Z]+[a-z]+"), "mid_word_caps"),
+            F.when(has(tx.CAPS), "mid_word_caps"),
             F.when(has("[a-zA-Z][0-9][a-zA-Z]"), "digits_in_words"),
             F.when(has("[\\p{L}]-[ \\t]*\\n"), "hyphenation"),
             F.when(has("[.,;:]{2,}"), "double_punctuation"),
@@ -194,7 +194,7 @@ PATTERNS = (
     ("citation", "bracket", "\\[[0-9]+\\]"),
     ("cross_reference", "see", "[Ss]ee (chapter|section|page|p\\.) ?[0-9]+"),
     ("hyphenation", "break", "[\\p{L}]+-\\n[\\p{L}]+"),
-    ("confusion", "capitals", "[a-z]+[A-Z]+[a-z]+"),
+    ("confusion", "capitals", tx.CAPS),
     ("confusion", "digits", "[a-zA-Z]+[0-9]+[a-zA-Z]+"),
     ("punctuation", "doubled", "[.,;:]{2,}"),
     ("names", "capitalized", "[A-Z][a-z]+ [A-Z][a-z]+"),

@@ -26,7 +26,7 @@ _ALPHA = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+'), la
 _QUALITY = f"""SELECT doc_id, page_index, n_words, garbage, valid, issues, CASE WHEN n_words < 10 THEN 'SKIP' WHEN garbage > 0.02 OR valid < 0.5 THEN 'BAD' WHEN garbage > 0.005 OR valid < 0.8 THEN 'MARGINAL' ELSE 'GOOD' END AS verdict FROM (
     SELECT doc_id, page_index, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> ''))::INT AS n_words, CASE WHEN length(text) = 0 THEN 0.0 ELSE round(({_GARBAGE})::DOUBLE / length(text), 6) END AS garbage,
     CASE WHEN len({_ALPHA}) = 0 THEN 0.0 ELSE round(len(list_filter({_ALPHA}, lambda w: regexp_matches(w, '[aeiouy]') AND NOT regexp_matches(w, '[bcdfghjklmnpqrstvwxz]{{5,}}'))) / len({_ALPHA}), 6) END AS valid,
-    concat_ws(',', CASE WHEN NOT regexp_matches(text, '[^ \\t\\n\\r\\f]') THEN 'blank' END, CASE WHEN regexp_matches(text, '[a-z]+[A-Z]+[a-z]+') THEN 'mid_word_caps' END, CASE WHEN regexp_matches(text, '[a-zA-Z][0-9][a-zA-Z]') THEN 'digits_in_words' END,
+    concat_ws(',', CASE WHEN NOT regexp_matches(text, '[^ \\t\\n\\r\\f]') THEN 'blank' END, CASE WHEN regexp_matches(text, '{tx.CAPS}') THEN 'mid_word_caps' END, CASE WHEN regexp_matches(text, '[a-zA-Z][0-9][a-zA-Z]') THEN 'digits_in_words' END,
       CASE WHEN regexp_matches(text, '[\\p{{L}}]-[ \\t]*\\n') THEN 'hyphenation' END, CASE WHEN regexp_matches(text, '[.,;:]{{2,}}') THEN 'double_punctuation' END, CASE WHEN regexp_matches(text, '\\|') THEN 'bars' END,
       CASE WHEN regexp_matches(text, '[^\\x00-\\x7f]{{4,}}') THEN 'symbols' END, CASE WHEN regexp_matches(text, '[ ]{{3,}}') THEN 'wide_spaces' END) AS issues FROM ({_PAGES}))"""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+NOTES = "\n".join(["", "", "---", "", "## Notes", ""])
 MARKERS = {"comment": ("\n<!-- p. ", " -->\n"), "heading": ("\n## [p. ", "]\n"), "inline": (" [p. ", "] ")}
 
 
@@ -28,7 +29,7 @@ def markdown(texts: DataFrame, pages: DataFrame, notes: DataFrame, page_markers:
         n = notes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("note_id", F.col("text").alias("note")))).alias("_n"))
         out = out.join(n, "doc_id", "left")
         line = lambda x: F.concat(F.lit("\n[^"), F.regexp_replace(x["note_id"], "fn|en" if compat else "^(fn|en)", ""), F.lit("]: "), x["note"], F.lit("\n"))
-        tail = F.when(F.col("_n").isNull(), "").otherwise(F.concat(F.lit("\n\n---\n\n## Notes\n"), F.array_join(F.transform("_n", line), "")))
+        tail = F.when(F.col("_n").isNull(), "").otherwise(F.concat(F.lit(NOTES), F.array_join(F.transform("_n", line), "")))
     return out.select("doc_id", F.concat(head, body, tail).alias("markdown"))
 
 
