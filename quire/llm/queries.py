@@ -68,7 +68,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
+_GRAMS = """SELECT {key}, g, lpad(g, 3, chr(1)) AS o, count(*) AS n FROM (SELECT {key}, unnest(list_concat(list_transform(range(1, length(w) + 1), lambda i: substring(w, i, 1)),
+    list_transform(range(1, length(w) + 2), lambda i: substring(' ' || w || ' ', i, 2)), list_transform(range(1, length(w) + 1), lambda i: substring(' ' || w || ' ', i, 3)))) AS g FROM (
+    SELECT {key}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}]+')) AS w FROM {table})) GROUP BY {key}, g"""
+
 ORACLES: dict[str, str] = {
+    "op6_language_id": f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, text, lang FROM documents),
+ids AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS r FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL) WHERE r <= 400),
+s AS (SELECT lang, text FROM documents WHERE doc_id IN (SELECT doc_id FROM ids) AND lang IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT lang, g, r FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, o) - 1 AS r FROM ({_GRAMS.format(key="lang", table="s")})) WHERE r < 300),
+t AS (SELECT k, g, r, count(*) OVER (PARTITION BY k) AS size FROM (SELECT k, g, row_number() OVER (PARTITION BY k ORDER BY n DESC, o) - 1 AS r FROM ({_GRAMS.format(key="k", table="d")})) WHERE r < 300),
+a AS (SELECT k, lang, sum(coalesce(abs(t.r - p.r), 300))::BIGINT / (any_value(size) * 300) AS far FROM (SELECT * FROM t, (SELECT DISTINCT lang FROM p)) t LEFT JOIN p USING (lang, g) GROUP BY k, lang),
+b AS (SELECT k, lang, far, row_number() OVER (PARTITION BY k ORDER BY far, lang) AS n, lead(far) OVER (PARTITION BY k ORDER BY far, lang) AS runner FROM a)
+SELECT doc_id, coalesce(b.lang, 'und') AS language, round(far, 6) AS distance, round(runner - far, 6) AS margin,
+  coalesce(far <= 0.8 AND length(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}]', '', 'g')) / greatest(length(regexp_replace(lower(text), '[ \\t\\n\\r\\f]', '', 'g')), 1) >= 0.5, false) AS accepted
+FROM d LEFT JOIN b ON b.k = d.k AND b.n = 1
+""",
     "op1_line_dedup": """
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT k, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
