@@ -94,8 +94,11 @@ def skip_reasons(t: Tables) -> DataFrame:
     return de.skip_reasons(words.tokens(t.degraded), words.lexicon(t.docs))
 
 
-@query("error_pairs", """SELECT doc_id, pos::INT AS pos, regexp_extract(e, p, 1) AS wrong, regexp_extract(e, p, 2) AS "right" FROM (
-    SELECT doc_id, pos, 'seen: ' || token || ' → ' || word AS e, '["'']?([\\p{L}\\p{N}_''-]+)["'']?[ \\t]*(?:→|->)[ \\t]*["'']?([\\p{L}\\p{N}_''-]+)' AS p FROM d_tokens) WHERE regexp_extract(e, p, 1) <> ''""")
+_PAIR = """'["'']?([\\p{L}\\p{N}_''-]+)["'']?[ \\t]*(?:→|->)[ \\t]*["'']?([\\p{L}\\p{N}_''-]+)'"""
+
+
+@query("error_pairs", f"""SELECT * FROM (SELECT doc_id, pos::INT AS pos, regexp_extract(e, {_PAIR}, 1) AS wrong, regexp_extract(e, {_PAIR}, 2) AS "right" FROM (
+    SELECT doc_id, pos, 'seen: ' || token || ' → ' || word AS e FROM d_tokens)) WHERE wrong <> ''""")
 def error_pairs(t: Tables) -> DataFrame:
     found = words.tokens(t.degraded).select("doc_id", "pos", de.error_pairs(F.concat(F.lit("seen: "), "token", F.lit(" → "), "word")).alias("p")).where("p IS NOT NULL")
     return found.select("doc_id", "pos", "p.wrong", "p.right")
