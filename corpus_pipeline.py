@@ -11,7 +11,7 @@ from quire.runtime import written
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is accepted as one of the languages that the column lang names."""
-    return language_id.accepted_documents(docs, language_id.train(docs))
+    return language_id.accepted_documents(docs, language_id.train(docs), max_distance=language_id.learn_bound(docs))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

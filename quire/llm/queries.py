@@ -35,7 +35,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return language_id.identify(docs, language_id.train(docs))
+    return language_id.identify(docs, language_id.train(docs), max_distance=language_id.learn_bound(docs))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,23 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert found.where("n_chars >= 100").agg(F.avg(F.col("accepted").cast("int"))).collect()[0][0] > 0.99
 
 
+def test_texts_of_no_learned_language_are_rejected(spark, sf_dir):
+    """Spanish is unlabelled here; the letters of other texts are shuffled; short texts of learned languages stay."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    table = [tuple(r) for r in spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    own = [r for r in table if r[2] != "es"]
+    spanish = [(10_000 + r[0], r[1], None, None, None) for r in table if r[2] == "es"]
+    mixed = [(20_000 + r[0], "".join(rng.sample(r[1], len(r[1]))), None, None, None) for r in own[:200] if len(r[1]) > 200]
+    short = [(30_000 + r[0], r[1][: r[1].find(" ", 100)], None, None, None) for r in own[:200] if len(r[1]) > 200]
+    docs = spark.createDataFrame([*own, *spanish, *mixed, *short], SCHEMA)
+    kept = Counter(r.doc_id // 10_000 for r in corpus_pipeline.keep_known_languages(spark, docs, "").select("doc_id").collect())
+    assert kept[1] <= 0.05 * len(spanish) and kept[2] <= 0.05 * len(mixed)
+    assert kept[0] >= 0.99 * len(own) and kept[3] >= 0.9 * len(short)
+    assert language_id.learn_bound(docs.where("false")) == language_id.MAX_DISTANCE
+
+
 def test_language_edge_cases(spark):
     profiles = {"en": [ord(c) for c in "etao"], "xx": [ord(c) for c in "zq"]}
     got = language_id.identify(odd(spark), profiles).collect()
