@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,6 +115,66 @@ def error_pairs(evidence: Column) -> Column:
     return F.when(part(1) != "", F.struct(part(1).alias("wrong"), part(2).alias("right")))
 
 
+def _same(x: Sequence, y: Sequence, i: int, j: int) -> int:
+    """Where in x its run of items equal to those of y ends, from x[i] and y[j] on."""
+    step, most = 1, min(len(x) - i, len(y) - j)
+    end = i + max(most, 0)
+    while i < end and x[i : min(i + step, end)] == y[j : j + min(step, end - i)]:
+        step = min(step, end - i)
+        i, j, step = i + step, j + step, 2 * step
+    while step > 1 and i < end:
+        step //= 2
+        if i + step <= end and x[i : i + step] == y[j : j + step]:
+            i, j = i + step, j + step
+    return i
+
+
+def _few_edits(x: Sequence, y: Sequence, most: int) -> int | None:
+    """Edit distance if it is at most `most`, by the furthest place that each number of edits reaches on each diagonal."""
+    reach, goal = {0: _same(x, y, 0, 0)}, len(y) - len(x)
+    for e in range(most + 1):
+        if reach.get(goal, -1) >= len(x):
+            return e
+        ahead = {}
+        for k in range(-e - 1, e + 2):
+            i = min(max(reach.get(k, -2) + 1, reach.get(k - 1, -1), reach.get(k + 1, -2) + 1), len(x), len(y) - k)
+            if i >= 0 and i + k >= 0:
+                ahead[k] = _same(x, y, i, i + k)
+        reach = ahead
+    return None
+
+
+def edits(x: Sequence, y: Sequence) -> int:
+    """Edit distance of two sequences, whole: by diagonals if it is small, else by columns held as the bits of integers (Myers)."""
+    start, n, m = 0, len(x), len(y)
+    while start < n and start < m and x[start] == y[start]:
+        start += 1
+    while n > start and m > start and x[n - 1] == y[m - 1]:
+        n, m = n - 1, m - 1
+    x, y = x[start:n], y[start:m]
+    if not x or not y:
+        return len(x) + len(y)
+    if (few := _few_edits(x, y, int(2 * min(len(x), len(y)) ** 0.5))) is not None:
+        return few
+    if len(x) > len(y):
+        x, y = y, x
+    where: dict[object, bytearray] = {}
+    for i, c in enumerate(x):
+        where.setdefault(c, bytearray(len(x) // 8 + 1))[i >> 3] |= 1 << (i & 7)
+    peq = {c: int.from_bytes(b, "little") for c, b in where.items()}
+    mask, last, far = (1 << len(x)) - 1, 1 << (len(x) - 1), len(x)
+    up, down = mask, 0
+    for c in y:
+        eq = peq.get(c, 0)
+        flat = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | (mask & ~(flat | up)), up & flat
+        far += bool(right & last) - bool(left & last)
+        right, left = (right << 1 | 1) & mask, (left << 1) & mask
+        vertical = eq | down
+        up, down = left | (mask & ~(vertical | right)), right & vertical
+    return far
+
+
 @F.pandas_udf(T.DoubleType())
 def word_error_rate(truth: pd.Series, other: pd.Series) -> pd.Series:
     """Edit distance over words by the number of the truth's words, in lower case; 0 or 1 without any."""
@@ -121,13 +183,18 @@ def word_error_rate(truth: pd.Series, other: pd.Series) -> pd.Series:
         if a is None or b is None:
             return None
         x, y = a.lower().split(), b.lower().split()
-        if not x:
-            return float(bool(y))
-        row = list(range(len(y) + 1))
-        for i, w in enumerate(x, 1):
-            last, row[0] = row[0], i
-            for j, v in enumerate(y, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (w != v))
-        return row[-1] / len(x)
+        return edits(x, y) / len(x) if x else float(bool(y))
+
+    return pd.Series([rate(a, b) for a, b in zip(truth, other)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def character_error_rate(truth: pd.Series, other: pd.Series) -> pd.Series:
+    """Edit distance by the length of the truth, in lower case, of texts of any length; 0 or 1 without any."""
+
+    def rate(a: str | None, b: str | None) -> float | None:
+        if a is None or b is None:
+            return None
+        return edits(a.lower(), b.lower()) / len(a) if a else float(bool(b))
 
     return pd.Series([rate(a, b) for a, b in zip(truth, other)], dtype="float64")

@@ -104,9 +104,27 @@ def error_pairs(t: Tables) -> DataFrame:
     return found.select("doc_id", "pos", "p.wrong", "p.right")
 
 
+def _both(t: Tables) -> DataFrame:
+    """Whole texts and their damaged ones."""
+    return t.docs.select("doc_id", F.col("text").alias("x")).join(t.degraded.select("doc_id", F.col("text").alias("y")), "doc_id")
+
+
 @query("word_error_rate")
 def word_error_rate(t: Tables) -> DataFrame:
     from quire.runtime import prepare
 
     prepare(t.spark)
-    return sv._firsts(t).select("doc_id", F.round(de.word_error_rate("x", "y"), 6).alias("rate"))
+    return _both(t).select("doc_id", F.round(de.word_error_rate("x", "y"), 6).alias("rate"))
+
+
+@query("character_error_rate_whole")
+def character_error_rate_whole(t: Tables) -> DataFrame:
+    from quire.runtime import prepare
+
+    prepare(t.spark)
+    return _both(t).select("doc_id", F.round(de.character_error_rate("x", "y"), 6).alias("rate"))
+
+
+@query("aligned_error_rate_whole")
+def aligned_error_rate_whole(t: Tables) -> DataFrame:
+    return _both(t).select("doc_id", tx.aligned_error_rate(F.col("x"), F.col("y")).alias("rate"))

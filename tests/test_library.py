@@ -304,3 +304,49 @@ def test_streams(spark, sf_dir, tmp_path):
     old = spark.createDataFrame([("a", 2, 0.5, "x"), ("b", 1, 0.4, "y")], "word string, occurrences long, confidence double, contexts string")
     merged = {r.word: (r.occurrences, round(r.confidence, 6)) for r in ingest.merge_learned(old, old.where("word = 'a'")).collect()}
     assert merged == {"a": (4, 0.7), "b": (1, 0.4)}
+
+
+# -- error rates
+
+
+def edits_by_table(x, y):
+    row = list(range(len(y) + 1))
+    for i, w in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, v in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (w != v))
+    return row[-1]
+
+
+def test_edits_equal_the_table():
+    import random
+
+    from quire.operators import detectors
+
+    rng = random.Random(6)
+    for _ in range(400):
+        x, y = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        assert detectors.edits(x, y) == edits_by_table(x, y)
+        assert detectors.edits(x.split("a"), y.split("a")) == edits_by_table(x.split("a"), y.split("a"))
+        near = "".join(c if rng.random() > 0.05 else rng.choice(["", "z", c + "y"]) for c in x)
+        assert detectors.edits(x, near) == edits_by_table(x, near)
+        assert detectors._few_edits(x, y, 200) == edits_by_table(x, y)
+
+
+def test_error_rates_read_whole_texts(spark, tmp_path):
+    """The only damage comes after the first 200 characters."""
+    from quire.plans import library
+    from quire.sources import layout
+
+    texts = ["xx " * 100 + "on the other side, we sit on the ice.\n" * 3, "plain", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    damaged = {r.doc_id: r.text for r in layout.degraded(docs).collect()}
+    assert damaged[0] != texts[0] and damaged[0][:200] == texts[0][:200]
+
+    def aligned(a, b):
+        return sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b))
+
+    for name, by_hand, cut in (("word_error_rate", edits_by_table, lambda x: x.lower().split()), ("character_error_rate_whole", edits_by_table, str.lower), ("aligned_error_rate_whole", aligned, str)):
+        got = {r.doc_id: r.rate for r in library.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {k: round(by_hand(cut(x), cut(damaged[k])) / max(1, len(cut(x))), 6) for k, x in enumerate(texts)} and got[0] > 0
