@@ -190,6 +190,18 @@ def test_held_out_toxicity(spark):
     assert not any(found[d] for d, _ in data if d >= 1600)  # words of copied toxic documents aren't toxic
 
 
+@pytest.mark.parametrize("copies", [0, 400])
+def test_copies_neither_lift_nor_sink_words(spark, copies):
+    """A toxic text that holds all bad words, and many copies of it, leave the verdicts on all other documents as they are."""
+    data, labels = toxic_corpus(random.Random(2))
+    data += [(5000 + k, "start " + " ".join(f"bad{j} own{j}" for j in range(12))) for k in range(copies)]
+    labels += [(5000 + k, 1) for k in range(copies)]
+    found = {r.doc_id: r.toxic for r in toxicity.score(docs_of(spark, data), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    rest = [(d, t) for d, t in labels if d < 1500]
+    assert sum(found[d] for d, t in rest if t) >= 0.95 * sum(t for _, t in rest) and sum(found[d] for d, t in rest if not t) == 0
+    assert not any(found[d] for d, _ in data if 1600 <= d < 5000)
+
+
 def test_walk_matches_matrix_powers():
     import numpy as np
 
