@@ -1,10 +1,13 @@
-"""N-gram Jaccard join by chosen paths: all pairs of documents whose word-shingle sets are alike.
+"""N-gram Jaccard join by chosen paths: the links between documents whose word-shingle sets are alike.
 
 Every set is cut to a signature of min-hashes, so that two sets agree on one coordinate with a probability of their
 Jaccard similarity. A run starts with all sets in one node. Each node picks BRANCH coordinates of the signature from
 its own path, that is BRANCH shared tokens, and sends every set to the children these tokens name. Nodes of up to
 `bucket` sets are compared by brute force, larger ones are split again. Pairs whose sketches are far apart are let go,
 all others are verified on the whole sets. Runs are repeated, all at once, as often as the target recall needs.
+
+Documents with one set are one node of the join from the start, so copies are never paired with each other. The result
+has a row for each document: its class, which is the connected component of its links, and how many links it has.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import blocks, tokens
@@ -23,7 +26,8 @@ from quire.runtime import prepare, written
 NGRAM, THRESHOLD, RECALL, BUCKET, LEVELS = 3, 0.45, 0.95, 50, 3
 #: Coordinates of a signature; children of a node; sets in one tile of a bucket that can't be split further.
 COORDS, BRANCH, TILE = 64, 2, 512
-#: How far below the threshold a sketch may lie: over three standard deviations of an estimate from COORDS bytes.
+#: How far below the threshold a sketch may lie: over three standard deviations of an estimate from COORDS bytes. A pair
+#: at the threshold lies below that with a probability of 0.0006, so its recall is that of the paths times 0.9994.
 SLACK = 0.2
 
 _MULTIPLIERS = tokens.mix(np.arange(1, COORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -176,8 +180,9 @@ def _verify(threshold: float):
 def signatures(docs: DataFrame, n: int = NGRAM) -> DataFrame:
     """doc_id, node (a key of the shingle set), sig, sketch of each document with an id and at least one word; written."""
     prepare(docs.sparkSession)
-    signed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(signed.mapInArrow(_sign(n), "doc_id long, node long, sig array<int>, sketch binary"), "signatures")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    signed = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    return written(signed.mapInArrow(_sign(n), f"doc_id {id_type}, node long, sig array<int>, sketch binary"), "signatures")
 
 
 def similar_sets(docs: DataFrame, signed: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, levels: int = LEVELS) -> DataFrame:
@@ -207,53 +212,85 @@ def similar_sets(docs: DataFrame, signed: DataFrame, n: int = NGRAM, threshold:
     pairs = written(close.groupBy("a", "b").agg(F.min("path").alias("block")), "pairs")
     want = pairs.select("block", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.collect_set("block").alias("blocks"))
     want = want.join(nodes.select("node", "doc_id"), "node").hint("shuffle_hash")
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(want, "doc_id").select("node", "blocks", "text")
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(want, "doc_id").select("node", "blocks", "text")
     fetched = texts.mapInArrow(_fetch(n), "block long, a long, b long, set binary")
     asked = pairs.select("block", "a", "b", F.lit(None).cast("binary").alias("set"))
     both = fetched.unionByName(asked).repartition("block").sortWithinPartitions("block")
     return both.mapInArrow(_verify(threshold), "a long, b long, jaccard double")
 
 
-def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, levels: int = LEVELS) -> DataFrame:
-    """doc_a < doc_b, jaccard of all pairs of documents whose sets of n-word shingles have a Jaccard of at least `threshold`.
+def components(edges: DataFrame) -> DataFrame:
+    """node, label of every node of the edges a, b: the label is the least node of its connected component.
 
-    Every reported pair is exact; one at the threshold is found with probability `recall`, likelier ones more surely,
-    and copies with equal sets always. A text of fewer than n words is one shingle of all its words. Documents without
-    a word (null or empty text) and rows without doc_id are in no pair. Repeated rows count once; if one doc_id has
-    several texts, a pair takes the best of them. Further columns are not read. An empty table gives no rows.
+    Large and small stars take turns: every node hands its greater neighbours, then its lesser ones and itself, to the
+    least of them. The edges never become more, and the turns grow as the square of the logarithm of their number at
+    most, whatever the diameter. A node's neighbours are never brought together: its least one is a combined minimum
+    and goes back by a join, whose hot keys the adaptive plan splits.
+    """
+    least = lambda e: e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    before = state(edges)
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = both.join(least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.join(least(large), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        edges = written(small.where("a <> b").distinct(), "edges")
+        if (after := state(edges)) == before:
+            break
+        before = after
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def _classes(signed: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, doc_id) of every set of a document, and doc_id, class_id for the documents in a class of at least two.
+
+    A doc_id with several texts holds their sets together. pairs: a, b of alike sets, written.
     """
-    signed = signatures(docs, n)
-    pairs = similar_sets(docs, signed, n, threshold, recall, bucket, levels)
     members = signed.select("node", "doc_id").distinct()
-    left, right = members.select(F.col("node").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("node").alias("b"), F.col("doc_id").alias("y"))
-    across = pairs.join(left, "a").join(right, "b").select("x", "y", "jaccard")
-    within = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    every = across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return every.groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    first = members.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").drop("last")
+    own = members.join(first, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b")
+    label = components(pairs.select("a", "b").unionByName(own))
+    group = members.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+    heads = group.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")).where("class_id <> last").drop("last")
+    return members, group.join(heads, "label").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+
+
+def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, levels: int = LEVELS) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies of every document with an id.
+
+    Two texts are linked if their sets of n-word shingles differ and have a Jaccard of at least `threshold`, verified on the
+    whole sets. A link at the threshold is found with probability `recall` (times 0.9994, see SLACK), likelier ones more
+    surely. Texts of equal sets are copies, which are always found. class_id is the least doc_id of the connected
+    component of all links and copies, for a document without any its own. n_links counts the other sets that the
+    document's is linked to, n_copies the other documents of an equal set.
+
+    A text of fewer than n words is one shingle of all its words. Documents without a word (null or empty text) are by
+    themselves, with 0 links and copies; rows without doc_id are left out. Repeated rows count once; the several texts of
+    one doc_id belong to one class, and the greatest of their counts holds. Very long texts are compared whole. doc_id
+    keeps its type. Further columns are not read. An empty table gives no rows.
+    """
+    signed = signatures(docs, n)
+    pairs = written(similar_sets(docs, signed, n, threshold, recall, bucket, levels), "alike")
+    members, classes = _classes(signed, pairs)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    counts = members.groupBy("node").agg(F.count("*").alias("n")).join(links, "node", "left")
+    counts = members.join(counts, "node").groupBy("doc_id").agg(F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"), F.max(F.col("n") - 1).alias("n_copies"))
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    every = ids.join(counts, "doc_id", "left").join(classes, "doc_id", "left")
+    zero = F.lit(0).cast("long")
+    return every.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", zero).alias("n_copies"))
 
 
 def group_heads(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, head of every document in a group of alike documents: head is the group's least doc_id.
 
-    Groups are the connected components of the join. The least label of each set's neighbours is taken until none
-    changes; groups are dense, so this takes as many rounds as their diameter, which is a few.
+    Groups are the classes of `jaccard_join`, which has its parameters and rules; besides, all documents whose text isn't
+    null but has no word are one group, as their sets are equal. Rows without doc_id are in no group. An empty table gives no rows.
     """
-    n = parameters.get("n", NGRAM)
-    signed = signatures(docs, n)
-    pairs = written(similar_sets(docs, signed, **parameters), "alike").select("a", "b")
-    members = signed.select("node", "doc_id").distinct()
-    # a doc_id with several texts links their sets
-    least = F.min("node").over(Window.partitionBy("doc_id"))
-    own = members.select("node", least.alias("first")).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    edges = pairs.unionByName(own)
-    edges = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = written(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels")
-    while True:
-        heard = edges.join(label, edges.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        step = written(label.join(heard, "node").select("node", F.least("label", "heard").alias("label"), (F.col("heard") < F.col("label")).alias("changed")), "labels")
-        label = step.select("node", "label")
-        if step.where("changed").isEmpty():
-            break
-    group = members.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    heads = group.groupBy("label").agg(F.min("doc_id").alias("head"), F.countDistinct("doc_id").alias("n")).where("n > 1")
-    return group.join(heads, "label").groupBy("doc_id").agg(F.min("head").alias("head"))
+    signed = signatures(docs, parameters.get("n", NGRAM))
+    pairs = written(similar_sets(docs, signed, **parameters), "alike")
+    heads = _classes(signed, pairs)[1].withColumnRenamed("class_id", "head")
+    bare = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id").distinct().join(signed.select("doc_id"), "doc_id", "left_anti")
+    least = bare.agg(F.min("doc_id")).first()[0]
+    return heads.unionByName(bare.select("doc_id", F.lit(least).cast(docs.schema["doc_id"].dataType).alias("head")))

@@ -108,12 +108,16 @@ w AS (SELECT x.t, x.doc_id, x.u, x.item_id, x.s, x.pos, count(DISTINCT y.g) AS h
 SELECT doc_id, item_id, round(max(held / s), 6) AS containment FROM w WHERE held >= ceil(s * 0.6 - 1e-9) GROUP BY doc_id, item_id
 """,
     "op5_jaccard_join": """
-WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-        ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g FROM w WHERE len(ws) > 0),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(shared / (a.n + b.n - shared), 6) AS jaccard
-FROM p JOIN n a ON a.doc_id = doc_a JOIN n b ON b.doc_id = doc_b WHERE shared / (a.n + b.n - shared) >= 0.45
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS gs FROM w WHERE len(ws) > 0),
+m AS (SELECT doc_id, md5(array_to_string(gs, '|')) AS node, len(gs) AS n, gs FROM g),
+s AS (SELECT DISTINCT node, n, unnest(gs) AS g FROM m),
+p AS (SELECT x.node AS a, y.node AS b FROM s x JOIN s y ON x.g = y.g AND x.node <> y.node GROUP BY x.node, y.node, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.45),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM m x JOIN m y USING (node) UNION SELECT x.doc_id, y.doc_id FROM p JOIN m x ON x.node = p.a JOIN m y ON y.node = p.b),
+r(doc_id, head) AS (SELECT DISTINCT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL UNION SELECT e.b, r.head FROM r JOIN e ON e.a = r.doc_id WHERE r.head < e.b),
+links AS (SELECT a AS node, count(*) AS n FROM p GROUP BY a), copies AS (SELECT node, count(*) - 1 AS n FROM m GROUP BY node),
+c AS (SELECT doc_id, max(coalesce(links.n, 0)) AS n_links, max(copies.n) AS n_copies FROM m JOIN copies USING (node) LEFT JOIN links USING (node) GROUP BY doc_id)
+SELECT r.doc_id, min(head) AS class_id, coalesce(any_value(n_links), 0)::BIGINT AS n_links, coalesce(any_value(n_copies), 0)::BIGINT AS n_copies FROM r LEFT JOIN c USING (doc_id) GROUP BY r.doc_id
 """,
 }
