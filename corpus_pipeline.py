@@ -1,4 +1,7 @@
-"""The training-data pipeline: five stages over the table of documents, each of which works on all that the one before kept."""
+"""The training-data pipeline: five stages over the table of documents, each of which works on all that the one before kept.
+
+All stages take further columns of any name, which stay until the last one, and empty tables, which stay empty.
+"""
 
 from __future__ import annotations
 
@@ -9,31 +12,46 @@ from quire.llm import decontaminate, jaccard_join, language_id, line_dedup, piec
 from quire.runtime import written
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is accepted as one of the languages that the column lang names."""
+    """Rows whose text is accepted as one of the languages that the column lang names.
+
+    Texts that are null, empty or without letters go. Repeated rows and rows without doc_id are judged like others, very long
+    texts whole. Ties go to the language whose name comes first. In a table that labels no language all rows go.
+    """
     return language_id.accepted_documents(docs, language_id.train(docs), max_distance=language_id.learn_bound(docs))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without the lines that many documents share; n_chars is that of the new text."""
-    cut = line_dedup.drop_common_lines(docs).drop("n_lines", "n_dropped")
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """All rows, without the lines that many documents share; n_chars is that of the new text.
+
+    Texts that are made of such lines alone become empty; the next stage holds them for copies of each other.
+    """
+    cut = line_dedup.cut_common_lines(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(_columns(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of documents that are like no other, and of the least doc_id of each group of alike ones; rows without doc_id stay."""
-    gone = jaccard_join.group_heads(docs).where("doc_id <> head").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs.doc_id == gone.gone, "left_anti")
+    """Rows of documents that are like no other, and of the least doc_id of each group of alike ones.
+
+    Texts without a word, empty ones too, are one group. Rows without doc_id and null texts stay, as do all rows of a
+    doc_id that stays.
+    """
+    gone = jaccard_join.group_heads(docs).where("doc_id <> head").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(_columns(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of documents that hold no benchmark item; rows without doc_id stay."""
-    leaks = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leaks")).distinct()
-    return docs.join(leaks, docs.doc_id == leaks.leaks, "left_anti")
+    """Rows of documents that hold no benchmark item; rows without doc_id and null texts stay, as do all if there is no item."""
+    leaks = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(_columns(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens and exact of every row."""
+    """doc_id, ids, n_tokens and exact of every row; a null text has null ids."""
     return pieces.encode(docs)
 
 

@@ -55,6 +55,8 @@ def test_line_edge_cases(spark):
     assert len(got) == len(data)
     text = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in got}
     assert text[1] == ("own 1", 2, 1) and text[7] == (None, 0, 0) and text[8] == ("", 1, 0) and text[None] == ("x", 2, 1) and text[9][0] == LONG
+    several = [(None, "shared\nx"), (None, "shared\ny"), (None, "z"), (None, "z"), (None, None)]
+    assert sorted(map(str, (r.text for r in line_dedup.cut_common_lines(df.select("doc_id", "text").unionByName(docs_of(spark, several)), 2).where("doc_id IS NULL").collect()))) == ["None", "x", "x", "y", "z", "z"]
     assert {r.doc_id: r.text for r in line_dedup.drop_common_lines(df, 3).collect()}[1] == "Shared\nown 1"  # a tie with the threshold stays
     assert line_dedup.drop_common_lines(df.where("false")).count() == 0
 
@@ -115,6 +117,28 @@ def sets(text):
     return set(shingles(w)) or ({tuple(w)} if w else set())
 
 
+def classes_by_hand(data, threshold=jaccard_join.THRESHOLD):
+    """doc_id: (class_id, n_links, n_copies), and the number of links between different sets; data: one text for each id."""
+    of = {d: frozenset(sets(t)) for d, t in data}
+    docs = Counter(s for s in of.values() if s)
+    kinds = list(docs)
+    like = {(x, y) for x in kinds for y in kinds if x != y and len(x & y) >= threshold * len(x | y)}
+    links = Counter(x for x, _ in like)
+    head = {d: d for d in of}
+    while True:
+        least = {}
+        for d, s in of.items():
+            least[s] = min(least.get(s, d), head[d]) if s else d
+        new = {d: min([head[d], least[s], *(least[y] for x, y in like if x == s)]) if s else d for d, s in of.items()}
+        if new == head:
+            return {d: (head[d], links[s], docs[s] - 1 if s else 0) for d, s in of.items()}, len(like) // 2
+        head = new
+
+
+def joined(df, **more):
+    return {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in jaccard_join.jaccard_join(df, **more).collect()}
+
+
 def test_recall_and_precision_of_the_join(spark):
     rng = random.Random(11)
     data = []
@@ -122,31 +146,63 @@ def test_recall_and_precision_of_the_join(spark):
         base = invented(rng, rng.randint(1, 60), 3000)
         data += [(len(data) + j, near(rng, base, c)) for j, c in enumerate([0, 0.02, 0.05, 0.08, 0.12][: rng.randint(1, 5)])]
     of = {d: sets(t) for d, t in data}
-    truth = {(a, b): len(of[a] & of[b]) / len(of[a] | of[b]) for a in of for b in of if a < b and of[a] & of[b]}
-    truth = {p: round(j, 6) for p, j in truth.items() if j >= jaccard_join.THRESHOLD}
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join.jaccard_join(docs_of(spark, data)).collect()}
-    assert set(got) <= set(truth) and all(got[p] == truth[p] for p in got)
-    assert len(got) >= 0.9 * len(truth) > 50
+    df = docs_of(spark, data)
+    signed = jaccard_join.signatures(df)
+    node = {r.node: r.doc_id for r in signed.collect()}
+    pairs = {tuple(sorted((node[r.a], node[r.b]))): r.jaccard for r in jaccard_join.similar_sets(df, signed).collect()}
+    truth = {(a, b): len(of[a] & of[b]) / len(of[a] | of[b]) for a in node.values() for b in node.values() if a < b and of[a] & of[b]}
+    truth = {p: j for p, j in truth.items() if j >= jaccard_join.THRESHOLD}
+    assert set(pairs) <= set(truth) and all(abs(pairs[p] - truth[p]) < 1e-12 for p in pairs)
+    assert len(pairs) >= 0.9 * len(truth) > 50
+    got, (want, n) = joined(df), classes_by_hand(data)
+    assert set(got) == set(want) and all(got[d][2] == want[d][2] and got[d][1] <= want[d][1] for d in got)
+    assert sum(x[1] for x in got.values()) >= 0.9 * sum(x[1] for x in want.values())
+    assert sum(got[d][0] == want[d][0] for d in got) >= 0.95 * len(want)
 
 
 def test_a_large_group_is_joined_whole(spark, monkeypatch):
+    """No link of a group is lost when its bucket can't be split, and copies add no rows."""
     monkeypatch.setattr(jaccard_join, "TILE", 8)
     rng = random.Random(1)
     base = invented(rng, 80, 5000)
-    data = [(k, near(rng, base, 0.005)) for k in range(60)] + [(100 + k, base) for k in range(3)]
-    of = {d: sets(t) for d, t in data}
-    truth = {(a, b) for a in of for b in of if a < b and len(of[a] & of[b]) >= jaccard_join.THRESHOLD * len(of[a] | of[b])}
-    got = {(r.doc_a, r.doc_b) for r in jaccard_join.jaccard_join(docs_of(spark, data), bucket=5, levels=2).collect()}
-    assert got <= truth and len(got) >= 0.9 * len(truth)
+    data = [(k, near(rng, base, 0.02)) for k in range(60)] + [(100 + k, base) for k in range(3)]
+    got, (want, n) = joined(docs_of(spark, data), bucket=5, levels=2), classes_by_hand(data)
+    assert got == want and n > 100 and {x[0] for x in got.values()} == {0}
 
 
 def test_join_edge_cases(spark):
     data = [(1, "a b c d e", 1), (2, "A b, c d e!", 1), (2, "A b, c d e!", 1), (3, None, 1), (4, "", 1), (None, "a b c d e", 1), (5, "one", 1), (6, "One.", 1), (7, LONG, 1), (8, LONG, 1), (9, "!!", 1)]
     df = docs_of(spark, data, ", node int")
-    assert {tuple(r) for r in jaccard_join.jaccard_join(df).collect()} == {(1, 2, 1.0), (5, 6, 1.0), (7, 8, 1.0)}
+    want = {1: (1, 0, 1), 2: (1, 0, 1), 3: (3, 0, 0), 4: (4, 0, 0), 5: (5, 0, 1), 6: (5, 0, 1), 7: (7, 0, 1), 8: (7, 0, 1), 9: (9, 0, 0)}
+    assert joined(df) == want
     heads = {r.doc_id: r.head for r in jaccard_join.group_heads(df).collect()}
-    assert heads == {1: 1, 2: 1, 5: 5, 6: 5, 7: 7, 8: 7}
+    assert heads == {1: 1, 2: 1, 5: 5, 6: 5, 7: 7, 8: 7, 4: 4, 9: 4}  # texts without a word are one group
     assert jaccard_join.jaccard_join(df.where("false")).count() == 0 and jaccard_join.group_heads(df.where("false")).count() == 0
+    named = df.selectExpr("concat('d', doc_id) AS doc_id", "text", "node AS label", "node AS class_id", "node AS sig")
+    assert joined(named) == {f"d{d}": (f"d{c}", n, m) for d, (c, n, m) in want.items()}
+    assert {r.doc_id: r.head for r in jaccard_join.group_heads(named).collect()} == {f"d{d}": f"d{h}" for d, h in heads.items()}
+    several = docs_of(spark, [(1, "a b c d e"), (1, "p q r s t"), (2, "A B C D E"), (3, "p q r s t"), (4, "p q r s t u")])
+    assert joined(several) == {1: (1, 1, 1), 2: (1, 0, 1), 3: (1, 1, 1), 4: (1, 1, 0)}
+
+
+def test_components_of_any_shape(spark):
+    rng = random.Random(6)
+    chain = [(k, k + 1) for k in range(200)]
+    star = [(1000, 1000 + k) for k in range(1, 50)]
+    loose = [(rng.randint(2000, 2400), rng.randint(2000, 2400)) for _ in range(250)]
+    head = {}
+
+    def find(x):
+        while head.setdefault(x, x) != x:
+            x = head[x]
+        return x
+
+    edges = [*chain, *star, *loose, (5, 5), (1001, 1000)]
+    for a, b in edges:
+        a, b = find(a), find(b)
+        head[max(a, b)] = min(a, b)
+    got = {r.node: r.label for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in edges for x in (a, b) if a != b}
 
 
 def test_heads_are_connected_components(spark):
@@ -256,7 +312,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert Counter((r[0], r[1]) for r in lines) == want and all(len(r[1]) == r[4] for r in lines)
     # one of each group: no two of the kept are alike, and all that went are alike to one that stays or went
     of = {r[0]: sets(r[1]) for r in lines if r[0] is not None}
-    like = lambda a, b: len(of[a] & of[b]) >= jaccard_join.THRESHOLD * len(of[a] | of[b]) and bool(of[a])
+    like = lambda a, b: len(of[a] & of[b]) >= jaccard_join.THRESHOLD * len(of[a] | of[b])
     stay = {r[0] for r in groups if r[0] is not None}
     gone = set(of) - stay
     assert gone and all(any(like(g, o) for o in of if o != g) for g in gone)
@@ -270,6 +326,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, step[-1].collect()))
 
 
+def test_pipeline_of_clashing_columns_and_empty_tables(spark, tmp_path):
+    """Further columns with names that the stages use stay until the last stage; empty tables give no rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    clash = ["n_lines", "n_dropped", "head", "node", "id", "row", "line", "kept", "drop", "leaks", "item_id", "a.b", "h", "language", "ids"]
+    docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(clash)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for step, stage in corpus_pipeline.STAGES[:-1]:
+        kept = written(stage(spark, kept, str(tmp_path)), "clash")
+        assert kept.columns == docs.columns and kept.where("n_lines <> 0 OR `a.b` <> 11").isEmpty()
+    bench.where("false").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).count() == docs.count()
+    docs.where("false").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_names_and_shared_folder(spark):
     assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 11)]
     assert shared_dir(spark) == shared_dir(spark)
