@@ -98,17 +98,61 @@ def test_leaks_against_brute_force(spark, share):
     assert got == leaks_by_hand(data, bench, share) and got
 
 
-def test_leak_edge_cases(spark, monkeypatch):
+def test_leak_edge_cases(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon", 5), (2, None, 5), (3, "", 5), (4, "two words", 5), (None, "alpha beta gamma", 5), (1, "alpha beta gamma delta epsilon", 5)], "item_id long, text string, h int")
     data = [(1, "x alpha beta gamma delta epsilon y", 1), (1, "x alpha beta gamma delta epsilon y", 1), (2, None, 1), (3, "", 1), (None, "alpha beta gamma delta epsilon", 1), (5, LONG + "alpha beta gamma delta epsilon", 1)]
     df = docs_of(spark, data, ", size int")
     want = {(1, 1, 1.0), (5, 1, 1.0)}
     assert {tuple(r) for r in decontaminate.leaks(df, items).collect()} == want
-    monkeypatch.setattr(decontaminate, "PASS", 1)  # several passes, and no broadcast
-    assert {tuple(r) for r in decontaminate.leaks(df, items).collect()} == want
+    named = decontaminate.leaks(df.selectExpr("concat('d', doc_id) AS doc_id", "text", "1 AS pos"), items.selectExpr("concat('i', item_id) AS item_id", "text", "1 AS width"))
+    assert {tuple(r) for r in named.collect()} == {("d1", "i1", 1.0), ("d5", "i1", 1.0)}
     assert decontaminate.leaks(df.where("false"), items).count() == 0 and decontaminate.leaks(df, items.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("bits", [8, 26])
+def test_a_full_filter_changes_no_result(spark, monkeypatch, bits):
+    """With 256 bits nearly every shingle passes the filters; the joins still decide on whole hashes."""
+    monkeypatch.setattr(decontaminate, "FILTER", bits)
+    rng = random.Random(3)
+    bench = [(k, invented(rng, rng.randint(1, 60), 200)) for k in range(20)]
+    data = [(k, invented(rng, 30, 200) + " " + near(rng, rng.choice(bench)[1], 0.1) + " " + invented(rng, 60, 200)) for k in range(40)]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.containment for r in decontaminate.leaks(docs_of(spark, data), items).collect()}
+    assert got == leaks_by_hand(data, bench, decontaminate.CONTAINMENT) and got
+
+
+def test_bounds_leave_fewer_pairs_than_the_prefix(spark):
+    """Prefixes hold the rarest shingles; hits without enough of the item around them are no candidates, and none that leaks is lost."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(6)]
+    bench = [(k, " ".join(rng.choice(common) for _ in range(30)) + f" x{k} y{k} z{k} " + " ".join(rng.choice(common) for _ in range(30))) for k in range(8)]
+    data = [(k, bench[k % 8][1] if k % 3 == 0 else " ".join(rng.choice(common) for _ in range(50)) + f" x{k % 8} y{k % 8} z{k % 8} " + " ".join(f"o{k}{j}" for j in range(80))) for k in range(48)]
+    docs, items = docs_of(spark, data), spark.createDataFrame(bench, "item_id long, text string")
+    ranked, known = decontaminate.ranked_items(docs, items, containment=0.9)
+    df = Counter(g for _, t in data for g in set(shingles(words(t))))
+    for r in ranked.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "df"))).alias("ranks")).collect():
+        own = sorted(df[g] for g in set(shingles(words(dict(bench)[r.item_id]))))
+        assert [x.df for x in r.ranks] == own and [x.rank for x in r.ranks] == list(range(1, len(own) + 1))
+    found, pairs = decontaminate.candidates(docs, ranked, known, 3)
+    pairs = {(r.doc_id, r.item_id) for r in pairs.collect()}
+    leaked = set(leaks_by_hand(data, bench, 0.9))
+    assert leaked <= pairs and leaked and len(pairs) < found.count()
+
+
+def test_windows_match_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = sorted((int(g), int(p), int(h)) for g, p, h in zip(rng.integers(0, 20, 400), rng.integers(0, 90, 400), rng.integers(0, 12, 400)))
+    rows = [r for k, r in enumerate(rows) if k == 0 or r[:2] != rows[k - 1][:2]]
+    group, pos, h = (np.array(c) for c in zip(*rows))
+    width = np.array([3, 10, 40])[group % 3]
+    first, most = decontaminate.most_held(group, pos, h, width)
+    for f, m in zip(first, most):
+        own = [(p, x) for g, p, x in rows if g == group[f]]
+        assert m == max(len({x for p, x in own if q <= p < q + width[f]}) for q, _ in own)
+
+
 # -- Jaccard join
 
 
