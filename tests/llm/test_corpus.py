@@ -302,6 +302,76 @@ def test_copies_neither_lift_nor_sink_words(spark, copies):
     assert not any(found[d] for d, _ in data if 1600 <= d < 5000)
 
 
+def scores_by_hand(data, labels):
+    """Seeds, tied words, edges, walks and scores without Spark; equal texts are copies."""
+    import numpy as np
+    from quire.llm import tokens
+
+    t = toxicity
+    vocabulary = sorted({w for _, x in data for w in words(x)})
+    code = dict(zip(vocabulary, map(int, tokens.word_hashes(vocabulary)[0])))
+    texts = {x: {code[w] for w in words(x)} for _, x in data}
+    label = {}
+    for d, y in labels:
+        label[dict(data)[d]] = max(y, label.get(dict(data)[d], 0))
+    share = sum(label.values()) / len(label)
+    n = Counter(w for x in label for w in texts[x])
+    a = Counter(w for x, y in label.items() if y for w in texts[x])
+    z = lambda hits, n, p: (hits - n * p) / max(n * p * (1 - p), 1e-9) ** 0.5
+    toxic = {w for w in n if z(a[w], n[w], share) >= t.DEVIATIONS and a[w] >= t.LEAST_DOCS and a[w] >= t.PURITY * n[w]}
+    most = max(n[w] for w in toxic)
+    signed = lambda w: w - (1 << 64) if w >> 63 else w
+    clean = sorted((w for w in n if z(a[w], n[w], share) <= 0 and n[w] <= most), key=lambda w: (z(a[w], n[w], share), signed(w)))[: len(toxic)]
+    df, near = Counter(), Counter()
+    for own in texts.values():
+        df.update(own)
+        near.update(own if own & toxic else ())
+    q = sum(bool(own & toxic) for own in texts.values()) / len(texts)
+    tied = {w for w in df if near[w] >= t.LEAST_DOCS and near[w] >= t.PURITY * df[w] and z(near[w], df[w], q) >= t.DEVIATIONS and not (n[w] >= t.EVIDENCE and a[w] < t.PURITY * n[w])}
+    nodes = sorted(toxic | set(clean) | tied)
+    both = Counter((i, j) for own in texts.values() for i in own & set(nodes) for j in own & set(nodes) if i != j)
+    w = np.zeros((len(nodes), len(nodes)))
+    for i, x in enumerate(nodes):
+        edges = sorted((-(np.log(both[x, y] * len(texts) / (df[x] * df[y])) - t.SHIFT), j) for j, y in enumerate(nodes) if both[x, y])
+        for far, j in [e for e in edges if e[0] < 0][: t.NEIGHBOURS]:
+            w[i, j] -= far
+            w[j, i] -= far
+    degree = w.sum(1)
+    move = np.divide(w, np.sqrt(np.outer(degree, degree)), out=np.zeros_like(w), where=w > 0)
+    met = []
+    for start in (toxic, set(clean)):
+        home = np.array([x in start for x in nodes]) / len(start)
+        p = home
+        for _ in range(t.STEPS):
+            p = (1 - t.RESTART) * move.T @ p + t.RESTART * home
+        met.append(p)
+    polarity = {x: u / (u + v) if u + v else 0.5 for x, u, v in zip(nodes, *met)}
+    assert tied - toxic
+    return {d: sum(2 * polarity[x] - 1 for x in texts[text] if polarity.get(x, 0) >= t.POLARITY) for d, text in data}
+
+
+def test_scores_match_brute_force(spark):
+    rng = random.Random(12)
+    data, labels = toxic_corpus(rng, 700)
+    data = [(d, x + " tied" + str(d % 3) if d % 8 == 0 and d < 700 else x) for d, x in data]  # words of unlabelled toxic documents
+    half = [x for x in labels if x[0] % 16 or x[0] >= 700]
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, data), spark.createDataFrame(half, "doc_id long, toxic int")).collect()}
+    want = scores_by_hand(data, half)
+    assert set(got) == set(want) and all(abs(got[d] - want[d]) < 1e-5 for d in want) and sum(x >= toxicity.TOXIC for x in want.values()) > 50
+
+
+def test_a_word_of_few_documents_counts_at_any_size(spark):
+    """The evidence that makes a word toxic is the same in a corpus ten times as large."""
+    rng = random.Random(13)
+    common = [f"c{k}" for k in range(1500)]
+    data = [(k, " ".join(rng.choice(common) for _ in range(30)) + " slur" * (k % 12 == 0)) for k in range(240)]
+    labels = [(k, int(k % 12 == 0)) for k in range(200)]
+    for more in (0, 20_000):
+        rows = data + [(1000 + k, " ".join(rng.choice(common) for _ in range(10))) for k in range(more)]
+        found = {r.doc_id for r in toxicity.score(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).where("toxic").collect()}
+        assert found == {k for k in range(240) if k % 12 == 0}
+
+
 def test_walk_matches_matrix_powers():
     import numpy as np
 
