@@ -8,7 +8,10 @@ one cluster, the content; the rest is navigation and the like.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,18 +28,50 @@ BLOCKS = frozenset(
 )
 HIDDEN = frozenset("head iframe noscript script style svg template textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_COMMENT_END = re.compile(r"--\s*>")
+#: Numbers of characters that are too long to be read; none of them names a character.
+_ENDLESS = re.compile(r"&#[0-9]{4000,};?")
 
 
 class Lines(HTMLParser):
-    """The lines of a page: visible text without outer white space, and tags."""
+    """The lines of a page: visible text without outer white space, and tags.
+
+    Takes time in proportion to the page, whatever is left open in it: an end that isn't there is looked for once.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self._comment_end = self._section_end = -1
         self.texts: list[str] = []
         self.tags: list[int] = []
         self._parts: list[str] = []
         self._n = 0
         self._hidden: list[str] = []
+        self._open: Counter[str] = Counter()  # of the hidden ones, by name
+
+    def read(self, page: str) -> tuple[list[str], np.ndarray]:
+        """Texts and numbers of tags of the page's lines."""
+        page = _ENDLESS.sub("\ufffd", page)
+        # nothing that begins after the last > has an end: it is text
+        cut = page.rfind(">") + 1
+        for found in _COMMENT_END.finditer(page, 0, cut):
+            self._comment_end = found.start()
+        self._section_end = page.rfind("]]>")
+        self.rawdata = page[:cut]
+        self.goahead(1)  # all at once, so that places in rawdata are those in the page
+        if self.cdata_elem is None:
+            self.handle_data(unescape(page[cut:]))
+        self.cut()
+        return self.texts, np.array(self.tags, np.int64)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return super().parse_comment(i, report) if i + 4 <= self._comment_end else -1
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A section of characters is skipped up to its end; what else begins like one is a comment up to the next >."""
+        if self.rawdata[i : i + 9].lower() == "<![cdata[" and i + 9 <= self._section_end:
+            return self.rawdata.find("]]>", i + 9) + 3
+        return self.parse_bogus_comment(i)
 
     def cut(self) -> None:
         if self._n or self._parts:
@@ -52,8 +87,9 @@ class Lines(HTMLParser):
         self._n += 1
         if tag in HIDDEN:
             self._hidden.append(tag)
+            self._open[tag] += 1
         elif tag == "body" or self._hidden and self._hidden[-1] in ("head", "title") and tag in BLOCKS:
-            self._hidden = []  # a head that was never closed
+            self._hidden, self._open = [], Counter()  # a head that was never closed
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag not in HIDDEN:
@@ -63,9 +99,11 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._n += 1
-        if tag in self._hidden:
-            while self._hidden.pop() != tag:
-                pass
+        while self._open[tag] and self._hidden:
+            last = self._hidden.pop()
+            self._open[last] -= 1
+            if last == tag:
+                break
         if tag in BLOCKS:
             self.cut()
 
@@ -78,11 +116,6 @@ class Lines(HTMLParser):
             self.cut()
             self._parts.append(part)
 
-    def done(self) -> tuple[list[str], np.ndarray]:
-        self.close()
-        self.cut()
-        return self.texts, np.array(self.tags, np.int64)
-
 
 def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian average over the neighbouring lines; at the page's ends over those that there are."""
@@ -96,9 +129,7 @@ def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
 
 def content(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) -> tuple[str, int, int]:
     """Text of the content lines, their number, and the number of all lines with text or tags."""
-    parser = Lines()
-    parser.feed(html)
-    texts, tags = parser.done()
+    texts, tags = Lines().read(html)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     ratio = smoothed(size / np.maximum(tags, 1), sigma)
     if not size.any():
@@ -126,8 +157,9 @@ def extract(pages: DataFrame, sigma: float = SIGMA, threshold: float = THRESHOLD
     """page_id, text, n_content, n_lines for every row of pages.
 
     Script, style, head and the like aren't visible. A null page has a null text, one without visible text an empty one. A page of
-    one line is content. A ratio at the threshold is content. Tags that are never closed end with the page, and the whole page is
-    parsed however long it is. Repeated rows and null ids are rows like any other; other columns are not read. An
+    one line is content. A ratio at the threshold is content. Tags that are never closed end with the page; a tag or comment whose own end is
+    missing is text up to the next >. Sections as <![CDATA[ ]]> are skipped and what else begins with <![ is a comment. The whole page is
+    parsed however long it is, in time in proportion to its length. Repeated rows and null ids are rows like any other; other columns are not read. An
     empty table gives no rows.
     """
     prepare(pages.sparkSession)

@@ -244,6 +244,48 @@ def test_html_content(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+@pytest.mark.parametrize("junk", ["<![foo bar]>", "<![%foo[", "<![CDATA[ x > y ]]>", "<![if !IE]>", "<![endif]>", "<!foo", "<?x", "</", "<", "&#" + "9" * 5000 + ";", "<![", "<!-", "<!", "<a\x00b>", "]]>", "<![CDATA["])
+def test_odd_markup_is_no_error(junk):
+    text, kept, n = html.content(f"<p>before</p>{junk}<p>after</p>")
+    assert "before" in text and "after" in text and " y " not in text
+    html.content(junk)
+    html.content(junk * 50)
+
+
+@pytest.mark.parametrize("junk", ["<a", "<!--", "<!--a>", "<!--a> b", "<![CDATA[", "<![cdata[>", "</a", "<svg></p>", "<svg>", "</svg>", "<script>", "<a href='", "<a x=\"", "<?", "<![x", "&#", "& ", "<", "<a ", "<!", "<p ", "<li>x", "--", "<a x=/", "</ "])
+def test_time_grows_with_the_page(junk):
+    """1 MB of things that never end, or that end once, at the very end."""
+    import time
+
+    page = junk * (1_000_000 // len(junk))
+    for more in ("", ">", "-->", "\"'>"):
+        began = time.process_time()
+        html.content("<p>text</p>" + page + more)
+        assert time.process_time() - began < 8
+
+
+def test_content_matches_brute_force():
+    """Pages made of lines with known text and tags: ratios, smoothing, threshold and choice by plain Python."""
+    rng = random.Random(4)
+    for _ in range(60):
+        page, known = "", []
+        for _ in range(rng.randint(1, 25)):
+            words = " ".join(rng.choice(["a", "word", "longer"]) for _ in range(rng.choice([0, 1, 2, 30])))
+            inner = rng.randint(0, 4)
+            page += "<p>" + f"<b>{words}</b>" * (inner > 0) + "<i></i>" * max(0, inner - 1) + words * (inner == 0) + "</p>\n"
+            known.append((words, 2 + 2 * inner))
+        size = [len(w) for w, _ in known]
+        ratio = [len(w) / n for w, n in known]
+        kernel = lambda d: np.exp(-0.5 * (d / html.SIGMA) ** 2) if abs(d) <= html.REACH * html.SIGMA else 0.0
+        smooth = [sum(kernel(i - j) * r for j, r in enumerate(ratio)) / sum(kernel(i - j) for j in range(len(ratio))) for i in range(len(ratio))]
+        mean = sum(smooth) / len(smooth)
+        bound = html.THRESHOLD * (sum((x - mean) ** 2 for x in smooth) / len(smooth)) ** 0.5
+        if any(abs(x - bound) < 1e-9 for x in smooth) and len(known) > 1:
+            continue
+        want = [w for (w, _), x, s in zip(known, smooth, size) if s and (len(known) == 1 or x >= bound)]
+        assert html.content(page) == ("\n".join(want), len(want), len(known))
+
+
 def test_smoothing_matches_its_definition():
     x = np.array([1.0, 5.0, 2.0, 8.0])
     w = np.exp(-0.5 * np.arange(-3, 4) ** 2.0)
