@@ -70,9 +70,9 @@ def _observed(of: list[Line]) -> np.ndarray:
     return np.array([(x.marker, x.gap, x.length, x.end) for x in of], np.int64).reshape(-1, 4)
 
 
-def render_raw(turns: list[tuple[str | None, str | None]], style: int) -> tuple[str, list[tuple[int, str]]]:
-    """A transcript in one of the styles; the line that each turn begins in, and its role."""
-    starts, sep = STYLES[style]
+def render_raw(turns: list[tuple[str | None, str | None]], style: int, sep: str | None = None) -> tuple[str, list[tuple[int, str]]]:
+    """A transcript in one of the styles, with its own separator or another; the line that each turn begins in, and its role."""
+    starts, sep = STYLES[style][0], STYLES[style][1] if sep is None else sep
     text, begins = "", []
     for k, (role, body) in enumerate(turns):
         text += sep if k else ""
@@ -123,6 +123,8 @@ class Model:
             self.start = np.log(np.where(inside, 0, self.start + SMOOTHING) / (self.start[~inside] + SMOOTHING).sum())
             move = np.where(ok, self.move + SMOOTHING, 0)
             self.move = np.log(move / move.sum(1, keepdims=True))
+        # within a turn a marker is as rare whoever speaks; a role with few such lines would make it seem frequent
+        self.emit[0][inside] = self.emit[0][inside].sum(0)
         self.emit = [np.log((t + SMOOTHING) / (t + SMOOTHING).sum(1, keepdims=True)) for t in self.emit]
         return self
 
@@ -168,22 +170,37 @@ class Model:
         return out
 
 
+_SIGNS = re.compile(rf"<(\\*)\|({'|'.join((*ROLES, 'end'))})\|>")
+_ESCAPED = re.compile(rf"<\\(\\*)\|({'|'.join((*ROLES, 'end'))})\|>")
+
+
 def canonical(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns)
+    """The one form: a sign of the role, the text and a sign of its end. A sign within a text gets a backslash, so that `turns_of` gives the turns back."""
+    return "".join(f"<|{role}|>\n{_SIGNS.sub(r'<\\\1|\2|>', text)}\n<|end|>\n" for role, text in turns)
+
+
+def turns_of(formatted: str) -> list[tuple[str, str]]:
+    """The turns that `canonical` was given."""
+    found = re.findall(rf"<\|({'|'.join(ROLES)})\|>\n(.*?)\n<\|end\|>\n", formatted, re.DOTALL)
+    return [(role, _ESCAPED.sub(r"<\1|\2|>", text)) for role, text in found]
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
     """conv_id, style and the ordered turns of each conversation."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int")
-    return conversations.groupBy("conv_id").agg(turns.alias("turns")).withColumn("style", style)
+    # a turn without conv_id is a conversation by itself; all of them together would be one row without bound
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    own = conversations.select("conv_id", alone, "turn", "role", "text")
+    return own.groupBy("conv_id", "alone").agg(turns.alias("turns")).drop("alone").withColumn("style", style)
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
     """conv_id and the text of every conversation, its turns joined in a style that depends on conv_id.
 
     Turns are ordered by turn, then role and text; a null role has no marker, a null text is empty, a null turn comes last. Repeated rows
-    are repeated turns. Rows without conv_id are one conversation. Other columns are not read.
+    are repeated turns. A row without conv_id is a conversation of one turn. A transcript is one text, as a document is: it must fit in a row.
+    Other columns are not read. An empty table gives no rows.
     """
     prepare(conversations.sparkSession)
     id_type = conversations.schema["conv_id"].dataType.simpleString()
@@ -198,19 +215,30 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 
 
 def train(conversations: DataFrame, most: int = TRAIN) -> Model:
-    """The model of up to `most` conversations, those with the least hash of conv_id, each rendered in its style."""
+    """The model of up to `most` conversations, those with the least hash of conv_id, each rendered in its style, with and without blank lines and the system's turn.
+
+    Turns of null or other roles are left out, as are rows without conv_id; repeated rows are repeated turns. Of an empty table
+    comes a model in which everything is equally likely.
+    """
     prepare(conversations.sparkSession)
     ids = conversations.where("conv_id IS NOT NULL").select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(most)
     model = Model()
     for row in _turns(conversations.join(F.broadcast(ids), "conv_id", "left_semi")).collect():
-        text, begins = render_raw([(t.role, t.text) for t in row.turns], row.style)
-        model.count(text, [(k, role) for k, role in begins if role is not None])
+        turns, starts = [(t.role, t.text) for t in row.turns], STYLES[row.style][0]
+        # a transcript may lack the system's turn; where every role has a marker, it may lack or have blank lines between turns
+        for some in (turns, turns[1:]) if len(turns) > 1 and turns[0][0] == "system" else (turns,):
+            for sep in ("\n", "\n\n") if all(starts.values()) else (None,):
+                text, begins = render_raw(some, row.style, sep)
+                model.count(text, [(k, role) for k, role in begins if role is not None])
     return model.finish()
 
 
 def parse(texts: DataFrame, model: Model) -> DataFrame:
     """conv_id, n_turns, roles (divided by commas) and formatted (the canonical rendering) of every row of conv_id and text.
 
+    The texts are transcripts in any of the usual forms, from tables or elsewhere; nothing but the text is looked at. `turns_of` reads
+    the canonical form again. Of equally likely roles the first of ROLES is taken.
+
     A null text has null roles and formatted and 0 turns; an empty or blank one has empty ones. Whole transcripts are parsed. Repeated
     rows and null ids are rows like any other; other columns are not read. An empty table gives no rows.
     """

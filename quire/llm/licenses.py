@@ -8,16 +8,20 @@ A chain that covers enough of its template is a span of that license.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quire.llm import blocks, tokens
 from quire.runtime import prepare
 
 #: Tokens of the shortest match, of the widest gap within a chain, and the share of a template that has to be covered.
 LEAST, GAP, COVERAGE = 4, 12, 0.7
+#: The bound on the tokens of all templates, whose automaton every worker holds. More are refused.
+MOST_TOKENS = 1_000_000
 
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR '
@@ -35,6 +39,19 @@ _GNU = (
     "3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
     "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
 )
+_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY '
+    "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+    "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE '
+    "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+    "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
 #: Name and text; a license may have several templates, its notice in files and the lines that name it.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     (
@@ -76,6 +93,35 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-2-Clause", _BSD + _DISCLAIMER),
+    ("BSD-3-Clause", _BSD + "3. " + _NAMES + _DISCLAIMER),
+    ("ISC", _ISC + ", provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_WARRANTY),
+    ("0BSD", _ISC + ". " + _ISC_WARRANTY),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+        "compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+        "interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt "
+        "act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS"),
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to "
+        "anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must "
+        "not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+        "required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, "
+        "display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: "
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole "
+        "or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    ),
 )
 
 
@@ -138,7 +184,8 @@ def chains(matches: list[tuple[int, int, int]], gap: int = GAP) -> list[tuple[in
     """Covered tokens and matches of disjoint chains, best first; a match is its place in the text, that in the template, and its length.
 
     A match may follow another if it starts no earlier than that one ends, in both, and at most `gap` tokens later. Of two overlapping
-    matches the later one is cut. Among equally good ones the chain that ends first in the text is taken.
+    matches the later one is cut. Among equally good ones the chain that ends first in the text is taken. A chain that would go through a match of
+    a better one begins behind it.
     """
     matches = sorted(matches)
     best, back = [m[2] for m in matches], [-1] * len(matches)
@@ -154,14 +201,24 @@ def chains(matches: list[tuple[int, int, int]], gap: int = GAP) -> list[tuple[in
                 best[i], back[i] = best[j] + n - over, j
     used: set[int] = set()
     out = []
-    for i in sorted(range(len(matches)), key=lambda i: (-best[i], i)):
+    heap = [(-b, i) for i, b in enumerate(best)]
+    heapify(heap)
+    while heap:
+        claimed, i = heappop(heap)
         chain, k = [], i
         while k >= 0 and k not in used:
             chain.append(k)
             k = back[k]
-        if k < 0 and chain:
-            used.update(chain)
-            out.append((best[i], [matches[k] for k in reversed(chain)]))
+        if not chain:
+            continue
+        if k >= 0:  # the rest belongs to a better chain: what is left is a chain of its own, and worth less
+            covered, back[chain[-1]] = matches[chain[-1]][2], -1
+            for (d, t, n), (e, u, m) in zip((matches[k] for k in chain), (matches[k] for k in chain[1:])):
+                covered += n - max(0, e + m - d, u + m - t)
+            heappush(heap, (-covered, i))
+            continue
+        used.update(chain)
+        out.append((-claimed, [matches[k] for k in reversed(chain)]))
     return out
 
 
@@ -237,12 +294,23 @@ def _run(scanner: Scanner):
     return run
 
 
+def templates_of(table: DataFrame) -> tuple[tuple[str, str], ...]:
+    """The templates of a table with columns license and text, in order; null and repeated ones are left out. ValueError for over MOST_TOKENS tokens."""
+    rows = table.where("license IS NOT NULL AND text IS NOT NULL").select("license", "text").distinct()
+    n = rows.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
+    if n > MOST_TOKENS:
+        raise ValueError(f"the templates have some {n} tokens; the bound is {MOST_TOKENS}")
+    return tuple(sorted((r.license, r.text) for r in rows.collect()))
+
+
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: int = LEAST, gap: int = GAP, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, template, first_word, last_word, n_words, coverage: a row for every license span of every text.
 
+    templates are names and texts, here or from a table by `templates_of`; whole license texts of thousands of words are fine.
+
     Words are runs of letters and numbers in lower case, counted from 0; n_words of the template are covered. Where spans of several
     templates overlap, the one that covers most words stays, then the shorter template, the earlier place, the earlier template. Null and
-    empty texts have no spans. Repeated rows give repeated spans, null ids are passed on; other columns are not read. An
+    empty texts have no spans, very long ones are read whole. Repeated rows give repeated spans, null ids are passed on; other columns are not read. An
     empty table gives no rows.
     """
     prepare(docs.sparkSession)

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quire.llm import blocks, tokens
 from quire.runtime import prepare
@@ -236,10 +237,44 @@ class Model:
         return out
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of the fields of a protocol buffer's message; those of fixed size are left out."""
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(data):
+        key, at = number(at)
+        if key & 7 == 0:
+            value, at = number(at)
+            yield key >> 3, value
+        elif key & 7 == 2:
+            size, at = number(at)
+            yield key >> 3, data[at : at + size]
+            at += size
+        else:
+            at += 8 if key & 7 == 1 else 4
+
+
+def check_kind(path: str) -> None:
+    """ValueError unless the file is a model of the BPE kind with bytes to fall back on: other kinds need other maxima."""
+    with open(path, "rb") as file:
+        spec = next((dict(_fields(v)) for k, v in _fields(file.read()) if k == 2), {})
+    if spec.get(3, 1) != 2 or not spec.get(35):
+        raise ValueError(f"{path} is no SentencePiece model of the BPE kind with byte fallback")
+
+
 def load(path: str = MODEL) -> Model:
-    """The model of a SentencePiece file of the BPE kind whose pieces have bytes to fall back on."""
+    """The model of a SentencePiece file of the BPE kind whose pieces have bytes to fall back on; ValueError for other kinds."""
     import sentencepiece
 
+    check_kind(path)
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
     text = {i: sp.id_to_piece(i) for i in plain}
@@ -324,8 +359,37 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
     The whole text is encoded. A null text has null ids, 0 tokens and a null `exact`; an empty one has no ids. Rows
     are not compared, so repeated rows, null ids and ties need no rule; other columns are not read. Characters that the
-    model lacks are spelt in bytes. So is U+2581, which the model's own encoder takes for a blank.
+    model lacks are spelt in bytes. So is U+2581, which the model's own encoder takes for a blank. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_run(load(path)), f"doc_id {id_type}, ids array<int>, n_tokens int, exact boolean")
+
+
+def _decode(model: Model):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            missing = column.is_null().to_numpy(zero_copy_only=False)
+            count = np.asarray(column.value_lengths().fill_null(0))
+            ids = column.flatten().fill_null(-1).to_numpy().astype(np.int64)
+            ids = np.where((ids >= 0) & (ids < len(model.raw_start) - 1), ids, model.unknown)
+            ends = np.cumsum(count)
+            for rows in np.split(np.arange(len(count)), np.flatnonzero(np.diff(ends // STEP)) + 1):
+                if len(rows):
+                    part = ids[ends[rows[0]] - count[rows[0]] : ends[rows[-1]]]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows[0], len(rows)), pa.array(model.decode(part, count[rows]), pa.string(), mask=missing[rows])], names=["doc_id", "text"])
+
+    return run
+
+
+def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
+    """doc_id, text for every row of doc_id and ids: the text that `encode` took the ids from, exactly.
+
+    Null ids give a null text, no ids an empty one. Ids that the model lacks and null ones among others add nothing. Bytes that are no
+    UTF-8 become U+FFFD. Long lists are decoded whole; repeated rows and null doc_ids are rows like any other; further columns
+    are not read. An empty table gives no rows.
+    """
+    prepare(encoded.sparkSession)
+    id_type = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decode(load(path)), f"doc_id {id_type}, text string")

@@ -178,6 +178,26 @@ def test_encoding_edge_cases(spark):
     assert pieces.encode(odd(spark).where("false")).count() == 0
 
 
+def test_decoding_is_the_inverse(spark):
+    df = odd(spark, "x string, kept boolean, n int, row int, h long")
+    got = pieces.decode(pieces.encode(df).withColumn("text", F.lit("clash")))
+    assert rows(got) == rows(df.select("doc_id", "text"))
+    lost = spark.createDataFrame([(1, [40_000, -1, None]), (2, []), (3, None)], "doc_id long, ids array<long>")
+    assert rows(pieces.decode(lost)) == [(1, ""), (2, ""), (3, None)]
+    assert pieces.decode(pieces.encode(df.where("false"))).count() == 0
+
+
+def test_models_of_another_kind_are_refused(tmp_path):
+    """The kind is a number in the file; a unigram model differs in it."""
+    data = open(pieces.MODEL, "rb").read()
+    spec = next(v for k, v in pieces._fields(data) if k == 2)
+    assert dict(pieces._fields(spec))[3] == 2
+    at = data.index(spec) + spec.index(b"\x18\x02")
+    (tmp_path / "other.model").write_bytes(data[: at + 1] + b"\x01" + data[at + 2 :])
+    with pytest.raises(ValueError):
+        pieces.load(str(tmp_path / "other.model"))
+
+
 # -- licenses
 
 
@@ -219,6 +239,50 @@ def test_chains_match_brute_force():
         assert len({m for _, c in got for m in c}) == sum(len(c) for _, c in got)
 
 
+def test_tails_of_cut_chains_stay():
+    matches = [(0, 0, 10), (11, 11, 6), (13, 10, 3), (17, 14, 3)]
+    assert {m for _, c in licenses.chains(matches, 3) for m in c} == set(matches)
+
+
+def test_spans_match_brute_force():
+    """Each template's best chain by trying all, and no span that a better one overlaps."""
+    rng = random.Random(21)
+    letters = "abcdef"
+    for _ in range(60):
+        templates = tuple((f"T{k}", " ".join(rng.choice(letters) for _ in range(rng.randint(4, 9)))) for k in range(2))
+        scanner = licenses.Scanner(templates, least=2, gap=2, coverage=0.6)
+        text = [rng.choice(letters + "z") for _ in range(10)]
+        at = rng.randint(0, 10)
+        text[at:at] = templates[0][1].split()
+        best = {}
+        for k, (_, template) in enumerate(templates):
+            t = template.split()
+            same = lambda i, j, n: 0 <= i and 0 <= j and i + n <= len(text) and j + n <= len(t) and text[i : i + n] == t[j : j + n]
+            # the longest matches with any template that end at each word and can't go on as long
+            whole = [x.split() for _, x in templates]
+            longest = [max(n for n in range(i + 2) if n == 0 or any(x[j : j + n] == text[i + 1 - n : i + 1] for x in whole for j in range(len(x)))) for i in range(len(text))] + [0]
+            found = [(i + 1 - n, j, n) for i, n in enumerate(longest[:-1]) if n >= 2 and longest[i + 1] <= n for j in range(len(t)) if same(i + 1 - n, j, n)]
+            covered = best_chain(found, 2)
+            if covered >= 0.6 * len(t):
+                best[k] = covered
+        got = scanner.scan([" ".join(text)])[0]
+        assert max((c for *_, c in got), default=0) == max(best.values(), default=0)
+        assert all(a[2] < b[1] for a, b in zip(got, got[1:])) and all(c >= 0.6 * len(scanner.sequences[k]) for k, _, _, c in got)
+
+
+def test_templates_of_a_table(spark):
+    whole = " ".join(f"term{k}" for k in range(3000))
+    table = spark.createDataFrame([("Own", whole, 1), ("Own", whole, 2), (None, "x", 1), ("Null", None, 1)], "license string, text string, template int")
+    templates = licenses.templates_of(table)
+    assert templates == (("Own", whole),)
+    docs = spark.createDataFrame([(1, "before " + whole + " after"), (2, " ".join(whole.split()[:1000])), (3, whole.replace("term7 ", "other "))], "doc_id long, text string")
+    assert rows(licenses.scan(docs, templates).select("doc_id", "license", "first_word", "n_words")) == [(1, "Own", 1, 3000), (3, "Own", 0, 2999)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(licenses, "MOST_TOKENS", 100)
+        with pytest.raises(ValueError):
+            licenses.templates_of(table)
+
+
 def test_license_spans(spark):
     mit = licenses.TEMPLATES[0][1]
     data = [(1, "Intro words. " + mit.replace("obtaining", "getting") + " End.", 7), (2, "Released under the MIT License. Released under the MIT License.", 7), (3, "No terms of the kind here, and the software is good.", 7)]
@@ -333,10 +397,33 @@ def test_viterbi_matches_brute_force():
         assert np.isclose(score(best), score(tuple(path))) if len(x) else len(path) == 0
 
 
+def test_the_canonical_form_can_be_read_again():
+    rng = random.Random(5)
+    parts = ["<|end|>", "<|user|>", "\n", "\\", "<", "|", "<\\|end|>", "x", "<|system|>\n", "|>"]
+    for _ in range(500):
+        turns = [(rng.choice(chat.ROLES), "".join(rng.choice(parts) for _ in range(rng.randint(0, 8)))) for _ in range(rng.randint(0, 4))]
+        assert chat.turns_of(chat.canonical(turns)) == turns
+
+
+def test_transcripts_of_other_sources(spark, sf_dir):
+    """Texts that weren't rendered from the table, in forms and languages of their own."""
+    model = chat.train(spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/conversations.parquet"))
+    texts = [
+        "### Human: How do I sort a list in Python?\n### Assistant: Use sorted().\n\n```python\nsorted([3, 1])\n```\n### Human: And backwards?\n### Assistant: Pass reverse=True.",
+        "<|user|>\nWo ist der Bahnhof?\n<|assistant|>\nGleich dort.\n",
+        "Q: What is two plus two, and why is it so?\nA: It is four, as anybody can count with fingers.\nQ: Sure?\nA: Yes, it is.",
+    ]
+    got = {r.conv_id: r for r in chat.parse(spark.createDataFrame(list(enumerate(texts)), "conv_id long, text string"), model).collect()}
+    assert got[0].roles == "user,assistant,user,assistant" and got[1].roles == "user,assistant" and got[2].roles == "user,assistant,user,assistant"
+    assert chat.turns_of(got[0].formatted)[1] == ("assistant", "Use sorted().\n\n```python\nsorted([3, 1])\n```")
+
+
 def test_chat_edge_cases(spark):
     schema = "conv_id long, turn long, role string, text string, style int, turns string"
     data = [(1, 0, "user", "Hi\n\nthere?", 9, "x"), (1, 1, "assistant", "Yes.", 9, "x"), (1, 1, "assistant", "Yes.", 9, "x"), (2, None, None, None, 9, "x"), (None, 0, "user", "q", 9, "x"), (3, 0, "user", LONG, 9, "x")]
     c = spark.createDataFrame(data, schema)
+    lone = c.unionByName(spark.createDataFrame([(None, 0, "user", "q", 9, "x"), (None, 1, "user", "r", 9, "x")], schema))
+    assert chat.transcripts(lone).where("conv_id IS NULL").count() == 3  # each its own
     got = {r.conv_id: r for r in chat.parse(chat.transcripts(c), chat.train(c)).collect()}
     assert set(got) == {1, 2, 3, None} and got[1].n_turns == 3 and got[1].roles == "user,assistant,assistant" and got[2].n_turns == 0
     assert got[1].formatted.startswith("<|user|>\nHi\n\nthere?\n<|end|>\n<|assistant|>\nYes.")
