@@ -409,13 +409,13 @@ def test_transcripts_of_other_sources(spark, sf_dir):
     """Texts that weren't rendered from the table, in forms and languages of their own."""
     model = chat.train(spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/conversations.parquet"))
     texts = [
-        "### Human: How do I sort a list in Python?\n### Assistant: Use sorted().\n\n```python\nsorted([3, 1])\n```\n### Human: And backwards?\n### Assistant: Pass reverse=True.",
+        "### Human: How do I sort a list in Python?\n### Assistant: Use sorted().\n```python\nsorted([3, 1])\n```\n### Human: And backwards?\n### Assistant: Pass reverse=True.",
         "<|user|>\nWo ist der Bahnhof?\n<|assistant|>\nGleich dort.\n",
         "Q: What is two plus two, and why is it so?\nA: It is four, as anybody can count with fingers.\nQ: Sure?\nA: Yes, it is.",
     ]
     got = {r.conv_id: r for r in chat.parse(spark.createDataFrame(list(enumerate(texts)), "conv_id long, text string"), model).collect()}
     assert got[0].roles == "user,assistant,user,assistant" and got[1].roles == "user,assistant" and got[2].roles == "user,assistant,user,assistant"
-    assert chat.turns_of(got[0].formatted)[1] == ("assistant", "Use sorted().\n\n```python\nsorted([3, 1])\n```")
+    assert chat.turns_of(got[0].formatted)[1] == ("assistant", "Use sorted().\n```python\nsorted([3, 1])\n```")
 
 
 def test_chat_edge_cases(spark):
