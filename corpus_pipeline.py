@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import runtime
 from quire.llm import decontaminate, jaccard_join, language_id, line_dedup, pieces
-from quire.runtime import written
 
 
 def _columns(docs: DataFrame) -> list:
@@ -68,8 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents; each but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages applied to documents; each but the last is written to the shared folder and read again. What a stage wrote on its way, and its input, is deleted after it."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with runtime.scratch(spark) as keep:
+            docs = runtime.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep.append(runtime.last_written())
+        if last is not None:
+            runtime.delete(spark, last)
+        last = runtime.last_written()
     return STAGES[-1][1](spark, docs, sf_dir)
