@@ -29,9 +29,21 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+_MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u030a\u030b\u030c\u0323\u0327\u0328"
+#: Small letters of Latin and Greek with one mark, as the two characters and as the one that is the same.
+_COMPOSED = {b + m: c for b in map(chr, [*range(97, 123), 230, 248, *range(945, 970)]) for m in _MARKS if len(c := unicodedata.normalize("NFC", b + m)) == 1}
+
+
+def composed(word: Column) -> Column:
+    """A word in small letters with letters and their marks as one character, where there is one. Without marks it costs a look."""
+    table = F.create_map(*[F.lit(x) for pair in _COMPOSED.items() for x in pair])
+    letters = F.transform(F.regexp_extract_all(word, F.lit("\\P{M}?\\p{M}*"), F.lit(0)), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    return F.when(F.regexp_like(word, F.lit("\\p{M}")), F.array_join(letters, "")).otherwise(word)
+
+
 def clean_word(word: Column) -> Column:
-    """Letters, numbers, underscores and inner apostrophes, in lower case."""
-    return F.btrim(F.regexp_replace(F.lower(word), "[^\\p{L}\\p{N}_']", ""), F.lit("'"))
+    """Letters, numbers, underscores and inner apostrophes, in lower case; a letter and its mark are one character."""
+    return F.btrim(F.regexp_replace(composed(F.lower(word)), "[^\\p{L}\\p{N}_']", ""), F.lit("'"))
 
 
 def bare_word(word: Column) -> Column:
@@ -86,21 +98,28 @@ def mark_counts(text: Column) -> dict[str, Column]:
     return {name: count(text, pattern) for name, pattern in MARKS.items()}
 
 
-GARBAGE = ("[^\\x00-\\x7f]{3,}", "[|]{2,}", "[~^]{1,}", "[*#%$&]{3,}", "[0-9][A-Za-z][0-9]", "[.,;:]{2,}")
+def whole(pattern: str) -> str:
+    """The pattern as a whole word."""
+    return f"(?<![\\p{{L}}\\p{{N}}_])(?:{pattern})(?![\\p{{L}}\\p{{N}}_])"
+
+
+#: Characters of other scripts than Latin and Greek, control characters, raised numbers before letters, long runs of capitals, of strokes and of circles.
+GARBAGE = ("[^\\x{0}-\\x{7f}\\x{c0}-\\x{24f}\\x{370}-\\x{3ff}\\x{1f00}-\\x{1fff}]", "[\\x{0}-\\x{8}\\x{b}\\x{c}\\x{e}-\\x{1f}]", "[⁰¹²³⁴⁵⁶⁷⁸⁹]+[a-z]+", whole("[A-Z]{10,}"), "[|!1l]{5,}", "[oO0]{5,}")
 
 
-def garbage_ratio(text: Column) -> Column:
-    """Matches of six patterns of garbage per character."""
+def garbage(text: Column) -> Column:
+    """Number of matches of the patterns of garbage."""
     total = F.lit(0).cast("long")
     for p in GARBAGE:
         total = total + count(text, p)
-    return F.when(F.length(text) == 0, 0.0).otherwise(F.round(total.cast("double") / F.length(text), 6))
+    return total
 
 
 def valid_word_ratio(text: Column) -> Column:
-    """The share of words of letters with a vowel and no five consonants in a row."""
-    alpha = F.filter(words(F.lower(text)), lambda w: F.regexp_like(w, F.lit("^[a-z]+$")))
-    good = F.filter(alpha, lambda w: F.regexp_like(w, F.lit("[aeiouy]")) & ~F.regexp_like(w, F.lit("[bcdfghjklmnpqrstvwxz]{5,}")))
+    """The share of words of three letters or more that are common, or have a vowel and a consonant and no letter four times in a row."""
+    alpha = F.regexp_extract_all(F.lower(text), F.lit(whole("[a-z]{3,}")), F.lit(0))
+    looks = lambda w: F.regexp_like(w, F.lit("[aeiou]")) & F.regexp_like(w, F.lit("[b-df-hj-np-tv-z]")) & ~F.regexp_like(w, F.lit("(.)\\1{3,}"))
+    good = F.filter(alpha, lambda w: w.isin(sorted(vocabulary.COMMON)) | looks(w))
     return F.when(F.size(alpha) == 0, 0.0).otherwise(F.round(F.size(good) / F.size(alpha), 6))
 
 
@@ -133,8 +152,8 @@ def is_roman(word: Column) -> Column:
 
 
 def basic_correction(text: Column) -> Column:
-    """Literal replacements of often confused letters, in order. They hit right words too."""
-    for a, b in (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u")):
+    """Literal replacements of often confused letters and words, in order. They hit right words too."""
+    for a, b in vocabulary.CONFUSED:
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 

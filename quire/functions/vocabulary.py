@@ -60,3 +60,13 @@ PREFIXES = [(x, s) for s, group in ((0.8, "un re"), (0.7, "pre non"), (0.6, "ant
 #: Endings and an inner part of words of other languages.
 FOREIGN_ENDINGS = tuple(sorted("ung heit keit lich isch ieren eux oux ique ologie ismus iae orum ae".split()))
 FOREIGN_INNER = "sch"
+
+#: Words that a survey takes for valid whatever they look like, and replacements of confused letters and words, in order: constants of the rules that this package keeps to.
+COMMON = frozenset(
+    "aber and answer argument been being chapter concept conclusion consciousness dasein durch existence experience from have index introduction knowledge logos mind nature nicht notes nous oder philosophy physis polis "
+    "question reality reason section sein techne that the theory this thought truth wenn which with world".split()
+)
+CONFUSED = (
+    ("rn", "m"), ("cl", "d"), ("tl", "ti"), ("Beautlful", "Beautiful"), ("beautlful", "beautiful"), ("rnorning", "morning"), ("cloing", "doing"), ("tbat", "that"), ("wbich", "which"), ("bave", "have"), ("judgrnent", "judgment"),
+    ("judgrment", "judgment"),
+)

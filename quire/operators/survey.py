@@ -13,33 +13,53 @@ RATES = {"A": 0.1, "B": 0.2, "C": 0.5, "D": 0.75, "E": 1.0}
 
 
 def page_quality(pages: DataFrame) -> DataFrame:
-    """doc_id, page_index, n_words, garbage, valid, issues, verdict of each page, in one projection."""
-    text = F.col("text")
-    p = pages.select("doc_id", "page_index", text, F.size(tx.words(text)).alias("n_words"), tx.garbage_ratio(text).alias("garbage"), tx.valid_word_ratio(F.lower(text)).alias("valid"))
-    has = lambda pattern: F.regexp_like("text", F.lit(pattern))
+    """doc_id, page_index, n_words, n_chars, n_garbage, garbage, valid, issues, verdict of each page, in one projection.
+
+    garbage is n_garbage by n_chars. A page of white space has no text layer: no characters, and that as its only issue. Issues that
+    images would show aren't known here. verdict is this package's own class of a page, by garbage and valid.
+    """
+    text, low = F.col("text"), F.lower("text")
+    blank = ~F.regexp_like("text", F.lit("[^ \\t\\n\\r\\f]"))
+    has = lambda of, pattern: F.regexp_like(of, F.lit(pattern))
+    p = pages.select(
+        "doc_id", "page_index", "text", blank.alias("blank"), F.size(tx.words(text)).alias("n_words"), F.when(blank, 0).otherwise(F.length(text)).alias("n_chars"),
+        F.when(blank, F.lit(0).cast("long")).otherwise(tx.garbage(text)).alias("n_garbage"), F.when(blank, 0.0).otherwise(tx.valid_word_ratio(text)).alias("valid"),
+    )
+    p = p.withColumn("garbage", F.when(F.col("n_chars") == 0, 0.0).otherwise(F.round(F.col("n_garbage").cast("double") / F.col("n_chars"), 6)))
+    raised = "[⁰¹²³⁴⁵⁶⁷⁸⁹]+"
+    floating = has(text, raised) & ~has(text, raised + "[ \\t\\n\\r\\f]*$") & has(text, f"[ \\t\\n\\r\\f]{raised}[ \\t\\n\\r\\f]")
     issues = F.array_compact(
         F.array(
-            F.when(F.col("n_words") == 0, "blank"),
-            F.when(has(tx.CAPS), "mid_word_caps"),
-            F.when(has("[a-zA-Z][0-9][a-zA-Z]"), "digits_in_words"),
-            F.when(has("[\\p{L}]-[ \\t]*\\n"), "hyphenation"),
-            F.when(has("[.,;:]{2,}"), "double_punctuation"),
-            F.when(has("\\|"), "bars"),
-            F.when(has("[^\\x00-\\x7f]{4,}"), "symbols"),
-            F.when(has("[ ]{3,}"), "wide_spaces"),
+            F.when(has(text, "[α-ω]{16,}"), "garbled_greek"),
+            F.when(has(text, "[äöüÄÖÜß]{2}"), "umlaut_errors"),
+            F.when((F.col("page_index") < 50) & ~has(low, tx.whole("[ivxlcdm]{2,}")) & has(low, tx.whole("[1il][vx]")), "roman_numeral_confusion"),
+            F.when(floating, "floating_superscripts"),
+            F.when(has(low, tx.whole("[a-z]{20,}")), "merged_words"),
+            F.when(has(text, "[\\p{L}\\p{N}_]-[ \\t\\r\\f]*\\n[ \\t\\n\\r\\f]*[\\p{L}\\p{N}_]"), "broken_hyphenation"),
+            F.when(F.col("garbage") > 0.05, "high_garbage_ratio"),
+            F.when(F.col("valid") < 0.5, "low_valid_words"),
         )
     )
     verdict = F.when(F.col("n_words") < 10, "SKIP").when((F.col("garbage") > 0.02) | (F.col("valid") < 0.5), "BAD").when((F.col("garbage") > 0.005) | (F.col("valid") < 0.8), "MARGINAL").otherwise("GOOD")
-    return p.select("doc_id", "page_index", "n_words", "garbage", "valid", F.array_join(issues, ",").alias("issues"), verdict.alias("verdict"))
+    return p.select("doc_id", "page_index", "n_words", "n_chars", "n_garbage", "garbage", "valid", F.when(F.col("blank"), "no_text_layer").otherwise(F.array_join(issues, ",")).alias("issues"), verdict.alias("verdict"))
 
 
 def assess(pages: DataFrame) -> DataFrame:
-    """doc_id, n_pages, share of each class, recommendation."""
-    n = lambda c: F.count_if(F.col("verdict") == c)
-    g = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), n("GOOD").alias("good"), n("MARGINAL").alias("marginal"), n("BAD").alias("bad"), n("SKIP").alias("skip"))
-    share = lambda c: F.round(F.col(c) / F.col("n_pages"), 6)
-    advice = F.when(F.col("bad") > F.col("n_pages") * 0.5, "rescan").when(F.col("bad") > F.col("n_pages") * 0.2, "reocr").when(F.col("good") >= F.col("n_pages") * 0.8, "use").otherwise("review")
-    return g.select("doc_id", "n_pages", share("good").alias("good"), share("marginal").alias("marginal"), share("bad").alias("bad"), share("skip").alias("skip"), advice.alias("advice"))
+    """doc_id, n_pages, with_text, with_issues, garbage, valid, grade, reason of pages as `page_quality` gives them.
+
+    garbage is over all characters, 1 without any; valid is the mean over the pages that have valid words.
+    """
+    micro = F.round(F.col("valid") * 1e6).cast("long")
+    g = pages.groupBy("doc_id").agg(
+        F.count("*").alias("n_pages"), F.count_if(F.col("issues") != "no_text_layer").alias("with_text"), F.count_if(F.col("issues") != "").alias("with_issues"), F.sum("n_garbage").alias("bad"), F.sum("n_chars").alias("all"),
+        F.sum(micro).alias("micro"), F.count_if(F.col("valid") > 0).alias("n_valid"),
+    )
+    g = g.withColumn("garbage", F.when(F.col("all") == 0, 1.0).otherwise(F.col("bad") / F.col("all"))).withColumn("valid", F.when(F.col("n_valid") == 0, 0.0).otherwise(F.col("micro") / F.col("n_valid") / 1e6))
+    reason = (
+        F.when(F.col("with_text") < F.col("n_pages") * 0.5, "text_layer").when(F.col("garbage") > 0.1, "garbage").when(F.col("valid") < 0.6, "words").when(F.col("with_issues") > F.col("n_pages") * 0.3, "issues").otherwise("usable")
+    )
+    grade = F.when(reason.isin("text_layer", "garbage"), "POOR").when(reason.isin("words", "issues"), "DEGRADED").otherwise("ACCEPTABLE")
+    return g.select("doc_id", "n_pages", "with_text", "with_issues", F.round("garbage", 6).alias("garbage"), F.round("valid", 6).alias("valid"), grade.alias("grade"), reason.alias("reason"))
 
 
 def issue_counts(pages: DataFrame) -> DataFrame:
@@ -168,15 +188,17 @@ def distinct_headings(c: DataFrame) -> DataFrame:
 def similar_words(counts: DataFrame, most: int = 2, times: int = 3) -> DataFrame:
     """doc_id, word, other, n, m: words whose neighbour within two edits is much more frequent in the same document.
 
-    The words of a document are joined on a form with up to two characters left out, so that only near words meet.
+    The words of a document are joined on the forms that words within two edits share, so that only near words meet. Words of
+    any length take part.
     """
-    from quire.operators.correction import deletions
+    from quire.operators.correction import forms, forms_near
 
-    long = counts.where(F.length("word") >= 4)
-    rare = long.select("doc_id", "word", "n", F.explode(deletions(F.col("word"))).alias("form"))
-    often = long.where(F.col("n") >= times).select("doc_id", F.col("word").alias("other"), F.col("n").alias("m"), F.explode(deletions(F.col("word"))).alias("form"))
+    if most > 2:
+        raise ValueError("words of up to two edits share a form")
+    rare = counts.select("doc_id", "word", "n", F.explode(forms_near(F.col("word"))).alias("form"))
+    often = counts.where(F.col("n") >= times).select("doc_id", F.col("word").alias("other"), F.col("n").alias("m"), F.explode(forms(F.col("word"))).alias("form"))
     pairs = rare.join(often, ["doc_id", "form"]).where((F.col("m") >= times * F.col("n")) & (F.col("word") != F.col("other"))).select("doc_id", "word", "other", "n", "m").distinct()
-    return pairs.where((F.abs(F.length("word") - F.length("other")) <= most) & (F.levenshtein("word", "other") <= most))
+    return pairs.where(F.levenshtein("word", "other", most) >= 0)
 
 
 def outline_quality(outline: DataFrame, pages: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def outline_matches(t: Tables) -> DataFrame:
 @query("page_error_rates", f"""SELECT *, round(n_unknown / n_words, 6) AS rate FROM (SELECT doc_id, page_index, count(*) AS n_words, count(DISTINCT word) FILTER (WHERE word NOT IN (SELECT word FROM d_lexicon)) AS n_unknown FROM (
     SELECT doc_id, page_index, unnest(regexp_extract_all(lower(text), '[\\p{{L}}]{{3,}}')) AS word FROM ({sv._PAGES})) GROUP BY ALL) WHERE n_words >= 10""")
 def page_error_rates(t: Tables) -> DataFrame:
-    return de.error_rates(sv._pages(t), words.lexicon(t.docs))
+    return de.error_rates(sv._pages(t), t.lexicon)
 
 
 _MARKS = " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in tx.MARKS.values())
@@ -91,7 +91,7 @@ _TERMS = ", ".join(f"'{w}'" for w in sorted(vocabulary.CORRECTION))
     WHEN regexp_matches(token, '\\p{{Lu}}') AND NOT regexp_matches(token, '\\p{{Ll}}') AND length(token) > 1 THEN 'capitals' WHEN regexp_matches(token, '^\\p{{Lu}}') THEN 'name'
     WHEN regexp_matches(word, '({"|".join(vocabulary.FOREIGN_ENDINGS)})$') OR (length(word) >= 6 AND contains(word, 'sch')) THEN 'foreign' ELSE 'candidate' END AS reason, count(*) AS n FROM d_tokens GROUP BY reason""")
 def skip_reasons(t: Tables) -> DataFrame:
-    return de.skip_reasons(words.tokens(t.degraded), words.lexicon(t.docs))
+    return de.skip_reasons(words.tokens(t.degraded), t.lexicon)
 
 
 _PAIR = """'["'']?([\\p{L}\\p{N}_''-]+)["'']?[ \\t]*(?:→|->)[ \\t]*["'']?([\\p{L}\\p{N}_''-]+)'"""
@@ -117,14 +117,15 @@ def word_error_rate(t: Tables) -> DataFrame:
     return _both(t).select("doc_id", F.round(de.word_error_rate("x", "y"), 6).alias("rate"))
 
 
-@query("character_error_rate_whole")
-def character_error_rate_whole(t: Tables) -> DataFrame:
+@query("character_error_rate")
+def character_error_rate(t: Tables) -> DataFrame:
     from quire.runtime import prepare
 
     prepare(t.spark)
     return _both(t).select("doc_id", F.round(de.character_error_rate("x", "y"), 6).alias("rate"))
 
 
-@query("aligned_error_rate_whole")
-def aligned_error_rate_whole(t: Tables) -> DataFrame:
+@query("aligned_error_rate", """SELECT doc_id, CASE WHEN n = 0 THEN CASE WHEN m = 0 THEN 0.0 ELSE 1.0 END ELSE round((len(list_filter(list_zip(x[1:least(n, m)], y[1:least(n, m)]), lambda p: p[1] <> p[2])) + abs(n - m)) / n, 6) END::DOUBLE AS rate FROM (
+    SELECT doc_id, string_split(a.text, '') AS x, string_split(b.text, '') AS y, length(a.text) AS n, length(b.text) AS m FROM documents a JOIN d_degraded b USING (doc_id))""")
+def aligned_error_rate(t: Tables) -> DataFrame:
     return _both(t).select("doc_id", tx.aligned_error_rate(F.col("x"), F.col("y")).alias("rate"))

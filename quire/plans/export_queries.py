@@ -104,7 +104,7 @@ def detect_format(t: Tables) -> DataFrame:
     return t.docs.select("doc_id", files.format_of(F.concat(F.lit("/a.b/"), F.col("doc_id").cast("string"), ending), head).alias("format"))
 
 
-@query("supported_formats")
+@query("supported_formats", "SELECT unnest(['markdown']) AS format")
 def supported_formats(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(f,) for f in files.supported()], "format string")
 
@@ -160,7 +160,7 @@ def profile_scores(t: Tables) -> DataFrame:
 
 
 def _converted(t: Tables) -> dict[str, DataFrame]:
-    return convert(t.pages, t.blocks, t.outline, words.lexicon(t.docs), Conversion(reading=Reading(enabled=True)))
+    return convert(t.pages, t.blocks, t.outline, t.lexicon, Conversion(reading=Reading(enabled=True)))
 
 
 @query("convert_documents")

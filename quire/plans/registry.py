@@ -7,7 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import spans
+from quire.operators import spans, words
+from quire.runtime import written
 from quire.sources import layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +26,14 @@ class Tables:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self.table("documents")
+        """The documents; those of a few files, which may be of one row group each, are spread over the cores."""
+        docs, cores = self.table("documents"), self.spark.sparkContext.defaultParallelism
+        return docs if len(docs.inputFiles()) >= cores else docs.repartition(cores)
+
+    @cached_property
+    def lexicon(self) -> DataFrame:
+        """The corpus' lexicon as a table: it is made once, however often a plan reads it."""
+        return written(words.lexicon(self.docs), "lexicon")
 
     @cached_property
     def lines(self) -> DataFrame:

@@ -41,9 +41,9 @@ def whole_text(t: Tables) -> DataFrame:
     return t.texts
 
 
-@query("first_pages_text", "SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_index) FILTER (WHERE text <> '') AS text FROM d_pages WHERE page_index < 2 GROUP BY doc_id HAVING count(*) FILTER (WHERE text <> '') > 0")
+@query("first_pages_text", "SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_index) FILTER (WHERE text <> '') AS text FROM d_pages WHERE page_index < 20 GROUP BY doc_id HAVING count(*) FILTER (WHERE text <> '') > 0")
 def first_pages_text(t: Tables) -> DataFrame:
-    return spans.whole_text(t.pages, first=2).where("text <> ''")
+    return spans.whole_text(t.pages, first=20).where("text <> ''")
 
 
 @query("page_positions", 'SELECT doc_id, page_index, label, start, "end" FROM p_spans')

@@ -29,9 +29,9 @@ def weighted_body_font(t: Tables) -> DataFrame:
 
 
 def _halves(t: Tables) -> DataFrame:
-    """Every line of over 20 characters as two blocks side by side, some too far apart to be merged."""
-    cut = F.array(F.lit(1), F.lit(2))
-    b = t.blocks.where(F.length("text") > 20).select("*", F.explode(cut).alias("half"))
+    """Every line of over 20 characters as two blocks side by side, some too far apart to be merged; shorter ones as one."""
+    cut = F.when(F.length("text") > 20, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    b = t.blocks.select("*", F.explode(cut).alias("half"))
     first, middle = F.col("half") == 1, F.col("x0") + 100.0
     gap = F.when(F.length("text") > 60, 5.0).otherwise(25.0)
     return b.select(
@@ -42,7 +42,7 @@ def _halves(t: Tables) -> DataFrame:
 
 @query("merged_blocks", """SELECT doc_id, page_index, (row_number() OVER (PARTITION BY doc_id, page_index ORDER BY block_no, half) - 1)::INT AS block_no, text, x0, x1, y0 FROM (
     SELECT doc_id, page_index, block_no, 1 AS half, CASE WHEN length(text) > 60 THEN substring(text, 1, 20) || ' ' || substring(text, 21) ELSE substring(text, 1, 20) END AS text, x0,
-        CASE WHEN length(text) > 60 THEN greatest(x1, x0 + 106) ELSE x0 + 100 END AS x1, y0 FROM d_blocks WHERE length(text) > 20
+        CASE WHEN length(text) > 60 THEN greatest(x1, x0 + 106) ELSE x0 + 100 END AS x1, y0 FROM d_blocks
     UNION ALL SELECT doc_id, page_index, block_no, 2, substring(text, 21), x0 + 125, greatest(x1, x0 + 126), y0 FROM d_blocks WHERE length(text) BETWEEN 21 AND 60)""")
 def merged_blocks(t: Tables) -> DataFrame:
     return st.merge_blocks(_halves(t)).select("doc_id", "page_index", "block_no", "text", "x0", "x1", "y0")

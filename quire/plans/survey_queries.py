@@ -21,14 +21,23 @@ def _pages(t: Tables) -> DataFrame:
     return split.groupBy("doc_id", "page_index").agg(F.array_join(ordered, "\n").alias("text"))
 
 
-_GARBAGE = " + ".join(f"len(regexp_extract_all(text, '{p.replace(chr(92) + 'x00-' + chr(92) + 'x7f', chr(92) + 'x00-' + chr(92) + 'x7f')}'))" for p in tx.GARBAGE)
-_ALPHA = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+'), lambda w: regexp_matches(w, '^[a-z]+$'))"
-_QUALITY = f"""SELECT doc_id, page_index, n_words, garbage, valid, issues, CASE WHEN n_words < 10 THEN 'SKIP' WHEN garbage > 0.02 OR valid < 0.5 THEN 'BAD' WHEN garbage > 0.005 OR valid < 0.8 THEN 'MARGINAL' ELSE 'GOOD' END AS verdict FROM (
-    SELECT doc_id, page_index, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> ''))::INT AS n_words, CASE WHEN length(text) = 0 THEN 0.0 ELSE round(({_GARBAGE})::DOUBLE / length(text), 6) END AS garbage,
-    CASE WHEN len({_ALPHA}) = 0 THEN 0.0 ELSE round(len(list_filter({_ALPHA}, lambda w: regexp_matches(w, '[aeiouy]') AND NOT regexp_matches(w, '[bcdfghjklmnpqrstvwxz]{{5,}}'))) / len({_ALPHA}), 6) END AS valid,
-    concat_ws(',', CASE WHEN NOT regexp_matches(text, '[^ \\t\\n\\r\\f]') THEN 'blank' END, CASE WHEN regexp_matches(text, '{tx.CAPS}') THEN 'mid_word_caps' END, CASE WHEN regexp_matches(text, '[a-zA-Z][0-9][a-zA-Z]') THEN 'digits_in_words' END,
-      CASE WHEN regexp_matches(text, '[\\p{{L}}]-[ \\t]*\\n') THEN 'hyphenation' END, CASE WHEN regexp_matches(text, '[.,;:]{{2,}}') THEN 'double_punctuation' END, CASE WHEN regexp_matches(text, '\\|') THEN 'bars' END,
-      CASE WHEN regexp_matches(text, '[^\\x00-\\x7f]{{4,}}') THEN 'symbols' END, CASE WHEN regexp_matches(text, '[ ]{{3,}}') THEN 'wide_spaces' END) AS issues FROM ({_PAGES}))"""
+_TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+_QUALITY = f"""SELECT doc_id, page_index, n_words, n_chars, n_garbage, garbage, valid, CASE WHEN n_chars = 0 THEN 'no_text_layer' ELSE concat_ws(',', CASE WHEN regexp_matches(text, '[α-ω]{{16,}}') THEN 'garbled_greek' END,
+      CASE WHEN regexp_matches(text, '[äöüÄÖÜß]{{2}}') THEN 'umlaut_errors' END,
+      CASE WHEN page_index < 50 AND len(list_filter(words, lambda w: regexp_full_match(w, '[ivxlcdm]{{2,}}'))) = 0 AND len(list_filter(words, lambda w: regexp_full_match(w, '[1il][vx]'))) > 0 THEN 'roman_numeral_confusion' END,
+      CASE WHEN regexp_matches(text, '[⁰¹²³⁴⁵⁶⁷⁸⁹]') AND NOT regexp_matches(text, '[⁰¹²³⁴⁵⁶⁷⁸⁹][ \\t\\n\\r\\f]*$') AND regexp_matches(text, '[ \\t\\n\\r\\f][⁰¹²³⁴⁵⁶⁷⁸⁹]+[ \\t\\n\\r\\f]') THEN 'floating_superscripts' END,
+      CASE WHEN len(list_filter(words, lambda w: regexp_full_match(w, '[a-z]{{20,}}'))) > 0 THEN 'merged_words' END,
+      CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}_]-[ \\t\\r\\f]*\\n[ \\t\\n\\r\\f]*[\\p{{L}}\\p{{N}}_]') THEN 'broken_hyphenation' END, CASE WHEN garbage > 0.05 THEN 'high_garbage_ratio' END, CASE WHEN valid < 0.5 THEN 'low_valid_words' END) END AS issues,
+    CASE WHEN n_words < 10 THEN 'SKIP' WHEN garbage > 0.02 OR valid < 0.5 THEN 'BAD' WHEN garbage > 0.005 OR valid < 0.8 THEN 'MARGINAL' ELSE 'GOOD' END AS verdict FROM (
+    SELECT *, CASE WHEN n_chars = 0 THEN 0.0 ELSE round(n_garbage::DOUBLE / n_chars, 6) END::DOUBLE AS garbage, CASE WHEN n_chars = 0 OR len(alpha) = 0 THEN 0.0 ELSE round(len(list_filter(alpha, lambda w:
+      w IN ('the', 'and', 'that', 'this', 'with', 'from', 'which', 'have', 'been', 'being', 'consciousness', 'reason', 'knowledge', 'truth', 'nature', 'world', 'mind', 'thought', 'experience', 'existence', 'reality', 'philosophy', 'concept',
+        'theory', 'argument', 'question', 'answer', 'chapter', 'section', 'introduction', 'conclusion', 'notes', 'index', 'sein', 'dasein', 'nicht', 'aber', 'oder', 'wenn', 'durch', 'logos', 'nous', 'physis', 'techne', 'polis')
+      OR (regexp_matches(w, '[aeiou]') AND regexp_matches(w, '[bcdfghjklmnpqrstvwxyz]') AND NOT regexp_matches(w, '{"|".join(c + "{4}" for c in "abcdefghijklmnopqrstuvwxyz")}')))) / len(alpha), 6) END::DOUBLE AS valid FROM (
+    SELECT doc_id, page_index, text, {_TOKENS} AS words, list_filter({_TOKENS}, lambda w: regexp_full_match(w, '[a-z]{{3,}}')) AS alpha, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> ''))::INT AS n_words,
+      CASE WHEN regexp_matches(text, '[^ \\t\\n\\r\\f]') THEN length(text) ELSE 0 END::INT AS n_chars, CASE WHEN NOT regexp_matches(text, '[^ \\t\\n\\r\\f]') THEN 0 ELSE
+      len(regexp_extract_all(text, '[^\\x{{0}}-\\x{{7f}}\\x{{c0}}-\\x{{24f}}\\x{{370}}-\\x{{3ff}}\\x{{1f00}}-\\x{{1fff}}]')) + len(regexp_extract_all(text, '[\\x{{0}}-\\x{{8}}\\x{{b}}\\x{{c}}\\x{{e}}-\\x{{1f}}]'))
+      + len(regexp_extract_all(text, '[⁰¹²³⁴⁵⁶⁷⁸⁹]+[a-z]+')) + len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{10,}}')))
+      + len(regexp_extract_all(text, '[|!1l]{{5,}}')) + len(regexp_extract_all(text, '[oO0]{{5,}}')) END::BIGINT AS n_garbage FROM ({_PAGES})))"""
 
 
 @query("page_quality", _QUALITY)
@@ -36,9 +45,10 @@ def page_quality(t: Tables) -> DataFrame:
     return survey.page_quality(_pages(t))
 
 
-@query("assess_doc", f"""SELECT doc_id, n_pages, round(good / n_pages, 6) AS good, round(marginal / n_pages, 6) AS marginal, round(bad / n_pages, 6) AS bad, round(skip / n_pages, 6) AS skip,
-    CASE WHEN bad > n_pages * 0.5 THEN 'rescan' WHEN bad > n_pages * 0.2 THEN 'reocr' WHEN good >= n_pages * 0.8 THEN 'use' ELSE 'review' END AS advice FROM (SELECT doc_id, count(*) AS n_pages,
-    count(*) FILTER (WHERE verdict = 'GOOD') AS good, count(*) FILTER (WHERE verdict = 'MARGINAL') AS marginal, count(*) FILTER (WHERE verdict = 'BAD') AS bad, count(*) FILTER (WHERE verdict = 'SKIP') AS skip FROM ({_QUALITY}) GROUP BY doc_id)""")
+@query("assess_doc", f"""SELECT doc_id, n_pages, with_text, with_issues, round(garbage, 6) AS garbage, round(valid, 6) AS valid, CASE reason WHEN 'text_layer' THEN 'POOR' WHEN 'garbage' THEN 'POOR' WHEN 'usable' THEN 'ACCEPTABLE' ELSE 'DEGRADED' END AS grade, reason FROM (
+    SELECT *, CASE WHEN with_text < n_pages * 0.5 THEN 'text_layer' WHEN garbage > 0.1 THEN 'garbage' WHEN valid < 0.6 THEN 'words' WHEN with_issues > n_pages * 0.3 THEN 'issues' ELSE 'usable' END AS reason FROM (
+    SELECT doc_id, count(*) AS n_pages, count(*) FILTER (WHERE n_chars > 0) AS with_text, count(*) FILTER (WHERE issues <> '') AS with_issues, CASE WHEN sum(n_chars) = 0 THEN 1.0 ELSE sum(n_garbage)::DOUBLE / sum(n_chars)::BIGINT END::DOUBLE AS garbage,
+      CASE WHEN count(*) FILTER (WHERE valid > 0) = 0 THEN 0.0 ELSE sum(round(valid * 1e6)::BIGINT)::BIGINT / count(*) FILTER (WHERE valid > 0) / 1e6 END::DOUBLE AS valid FROM ({_QUALITY}) GROUP BY doc_id))""")
 def assess_doc(t: Tables) -> DataFrame:
     return survey.assess(page_quality(t))
 
@@ -144,10 +154,10 @@ def fusion_agreement(t: Tables) -> DataFrame:
     return survey.agreement(sq.outline_candidates(t), sq.heading_candidates(t), sq.toc_candidates(t))
 
 
-@query("note_linkage", """SELECT DISTINCT r.doc_id, target_id AS id, 'no content' AS problem FROM d_refs r ANTI JOIN d_notes n ON r.doc_id = n.doc_id AND r.target_id = n.note_id WHERE r.k > 0
-    UNION ALL SELECT DISTINCT n.doc_id, note_id, 'no marker' FROM d_notes n WHERE note_id = 'fn0'""")
+@query("note_linkage", """SELECT DISTINCT r.doc_id, target_id AS id, 'no content' AS problem FROM d_refs r ANTI JOIN d_notes n ON r.doc_id = n.doc_id AND r.target_id = n.note_id 
+    UNION ALL SELECT DISTINCT n.doc_id, note_id, 'no marker' FROM d_notes n ANTI JOIN d_refs r ON r.doc_id = n.doc_id AND r.target_id = n.note_id""")
 def note_linkage(t: Tables) -> DataFrame:
-    return survey.linkage(t.refs.where("k > 0"), t.notes)
+    return survey.linkage(t.refs, t.notes)
 
 
 @query("page_jumps", """SELECT doc_id, page_index, label FROM (SELECT *, lag(n) OVER (PARTITION BY doc_id ORDER BY page_index) AS b FROM (SELECT doc_id, page_index, label, try_cast(label AS INT) AS n FROM (
@@ -173,7 +183,7 @@ def distinct_headings(t: Tables) -> DataFrame:
 
 
 _BYTE = "translate({w}, 'äöüßàâçéèêëîïôùûáíóúñ', 'ABCDEFGHIJKLMNOPQRSTU')"
-_WORDS = "SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS word FROM documents) WHERE length(word) >= 4 GROUP BY ALL"
+_WORDS = "SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS word FROM documents) GROUP BY ALL"
 
 
 @query("similar_words", f"""SELECT a.doc_id, a.word, b.word AS other, a.n, b.n AS m FROM ({_WORDS}) a JOIN ({_WORDS}) b ON a.doc_id = b.doc_id AND b.n >= 3 AND b.n >= 3 * a.n AND a.word <> b.word AND abs(length(a.word) - length(b.word)) <= 2
@@ -222,30 +232,15 @@ def word_shapes(t: Tables) -> DataFrame:
     return words.tokens(t.degraded).select("token").distinct().select("token", tx.is_capitalized(w).alias("capitalized"), tx.is_all_caps(w).alias("all_caps"), tx.is_foreign(w).alias("foreign"))
 
 
-@query("embedding_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("embedding_cosine", "SELECT vec_id, first AS other, round(list_cosine_similarity(e.embedding::DOUBLE[], o.embedding::DOUBLE[]), 6) AS cosine FROM (SELECT *, min(vec_id) OVER (PARTITION BY label) AS first FROM embeddings) e JOIN (SELECT vec_id AS first, embedding FROM embeddings) o USING (first)")
 def embedding_cosine(t: Tables) -> DataFrame:
+    """Every vector against the first one of its label."""
     e = t.table("embeddings")
-    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b"), F.col("embedding").alias("other"))
-    return e.join(other, "vec_id").select(F.col("vec_id").alias("a"), "b", F.round(tx.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+    first = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("o")).select("label", F.col("o.vec_id").alias("other"), F.col("o.embedding").alias("theirs"))
+    return e.join(first, "label").select("vec_id", "other", F.round(tx.cosine(F.col("embedding"), F.col("theirs")), 6).alias("cosine"))
 
 
-_FIRST = "SELECT doc_id, substring(a.text, 1, 200) AS x, substring(b.text, 1, 200) AS y FROM documents a JOIN d_degraded b USING (doc_id)"
-
-
-def _firsts(t: Tables) -> DataFrame:
-    return t.docs.select("doc_id", F.substring("text", 1, 200).alias("x")).join(t.degraded.select("doc_id", F.substring("text", 1, 200).alias("y")), "doc_id")
-
-
-@query("character_error_rate", f"SELECT doc_id, CASE WHEN length(x) = 0 THEN 0.0 ELSE round(levenshtein({_BYTE.format(w='lower(x)')}, {_BYTE.format(w='lower(y)')}) / length(x), 6) END AS rate FROM ({_FIRST})")
-def character_error_rate(t: Tables) -> DataFrame:
-    return _firsts(t).select("doc_id", tx.character_error_rate(F.col("x"), F.col("y")).alias("rate"))
-
-
-@query("aligned_error_rate", f"""SELECT doc_id, CASE WHEN length(x) = 0 THEN 0.0 ELSE round((len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[i] <> y[i])) + abs(length(x) - length(y))) / length(x), 6) END AS rate FROM ({_FIRST})""")
-def aligned_error_rate(t: Tables) -> DataFrame:
-    return _firsts(t).select("doc_id", tx.aligned_error_rate(F.col("x"), F.col("y")).alias("rate"))
-
-
-@query("basic_correction", "SELECT doc_id, replace(replace(replace(replace(text, 'rn', 'm'), 'cl', 'd'), 'vv', 'w'), 'ii', 'u') AS text FROM documents")
+@query("basic_correction", """SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, 'rn', 'm'), 'cl', 'd'), 'tl', 'ti'), 'Beautlful', 'Beautiful'), 'beautlful', 'beautiful'),
+    'rnorning', 'morning'), 'cloing', 'doing'), 'tbat', 'that'), 'wbich', 'which'), 'bave', 'have'), 'judgrnent', 'judgment'), 'judgrment', 'judgment') AS text FROM d_degraded""")
 def basic_correction(t: Tables) -> DataFrame:
-    return t.docs.select("doc_id", tx.basic_correction(F.col("text")).alias("text"))
+    return t.degraded.select("doc_id", tx.basic_correction(F.col("text")).alias("text"))

@@ -12,7 +12,7 @@ from quire.plans.registry import Tables, query
 
 
 def _lex(t: Tables) -> DataFrame:
-    return words.lexicon(t.docs)
+    return t.lexicon
 
 
 def _tokens(t: Tables) -> DataFrame:

@@ -347,6 +347,6 @@ def test_error_rates_read_whole_texts(spark, tmp_path):
     def aligned(a, b):
         return sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b))
 
-    for name, by_hand, cut in (("word_error_rate", edits_by_table, lambda x: x.lower().split()), ("character_error_rate_whole", edits_by_table, str.lower), ("aligned_error_rate_whole", aligned, str)):
+    for name, by_hand, cut in (("word_error_rate", edits_by_table, lambda x: x.lower().split()), ("character_error_rate", edits_by_table, str.lower), ("aligned_error_rate", aligned, str)):
         got = {r.doc_id: r.rate for r in library.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == {k: round(by_hand(cut(x), cut(damaged[k])) / max(1, len(cut(x))), 6) for k, x in enumerate(texts)} and got[0] > 0
