@@ -8,8 +8,9 @@ join every node to the nodes with the greatest positive pointwise mutual informa
 over all documents. Two random walks, which restart at the toxic and at the clean seeds, meet each node with a
 probability each; the share of the first is the word's polarity.
 
-In all counts the copies of a document are one. Counts stay in distributed tables: the driver gets the seeds, the tied words
-and their edges, each of which passed the tests, and the two samples that LABELLED and COMMON bound.
+In all counts the copies of a document, which have the same words in the same order, are one. Every other document counts, every labelled
+one too. Counts stay in distributed tables: the driver gets the seeds, the tied words and their edges, each of which passed the
+tests, a filter of one size, and up to COMMON words that the scan may leave out, since a join leaves out all their like.
 """
 
 from __future__ import annotations
@@ -21,19 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm import tokens
+from quire.llm import decontaminate, tokens
 from quire.runtime import prepare, written
 
-#: The bound on the labelled documents that seeds are found from, those with the least hash of doc_id.
-LABELLED = 1_000_000
 #: A toxic seed is over-represented by so many standard deviations among the toxic ones of the labelled documents, of which it
 #: takes at least so many and of its own at least this share. For a further node the same holds of documents with a toxic seed.
 DEVIATIONS, LEAST_DOCS, PURITY = 8.0, 5, 0.7
 #: A word that is in so many labelled documents, of which less than PURITY are toxic, is no further node. The scan leaves out so many of
-#: the most frequent of these words itself, a join the rest.
+#: the most frequent of these words itself, a join the rest: results don't depend on COMMON.
 EVIDENCE, COMMON = 20, 1 << 17
-#: Copies count as one document: those that share the least hash of their runs of RUN words under each of so many orders.
-RUN, ORDERS = 5, 2
 #: The mutual information is lessened by SHIFT, so that sharing a language makes no edge.
 NEIGHBOURS, SHIFT, RESTART, STEPS = 25, float(np.log(5)), 0.15, 60
 #: Words of at least this polarity count, each with how far it lies above the middle, from 0 to 1.
@@ -62,25 +59,13 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _copies(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """A number for each of n texts, from their words, that copies and most near copies share; 0 for a text without words."""
+    """A hash of the words of each of n texts in their order; 0 for a text without words."""
     out = np.zeros(n, np.uint64)
     if not len(h):
         return out
-    run = tokens.mix(h)
-    for k in range(1, RUN):
-        ahead = np.r_[h[k:], np.zeros(min(k, len(h)), np.uint64)][: len(h)]
-        same = np.r_[doc[k:] == doc[:-k], np.zeros(min(k, len(h)), np.bool_)][: len(h)]
-        run = tokens.mix(run + np.where(same, ahead, np.uint64(0)))
     start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    # a run that the text's end cuts is only taken from a text shorter than a run
-    size = np.diff(np.r_[start, len(h)])
-    left = np.repeat(start + size, size) - np.arange(len(h))
-    whole = (left >= RUN) | (np.arange(len(h)) == np.repeat(start, size))
-    mark = np.zeros(len(start), np.uint64)
-    for k in range(ORDERS):
-        order = tokens.mix(run ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64))
-        mark = tokens.mix(mark + np.minimum.reduceat(np.where(whole, order, np.uint64(2**64 - 1)), start))
-    out[doc[start]] = mark
+    place = np.arange(len(h)) - np.repeat(start, np.diff(np.r_[start, len(h)]))
+    out[doc[start]] = tokens.mix(np.add.reduceat(tokens.mix(h + place.astype(np.uint64) * tokens.BASE), start))
     return out
 
 
@@ -98,27 +83,26 @@ def walk(a: np.ndarray, b: np.ndarray, weight: np.ndarray, start: np.ndarray, re
     return p
 
 
-def _labelled(keys: np.ndarray, toxic: np.ndarray):
-    """key, copies, toxic and the distinct words of the texts whose key is one of `keys`, which are sorted."""
+def _labelled(known: decontaminate.Filter):
+    """key, copies and the distinct words of the texts whose key may be one of those that are known."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = known.table()
         for batch in batches:
             key = batch.column("key").to_numpy()
-            own = np.flatnonzero(_among(key, keys))
+            own = decontaminate._places(table, key.view(np.uint64))
             for at, texts in tokens.steps(batch.column("text").take(pa.array(own)).to_pylist()):
                 h, doc = tokens.word_hashes(texts)
-                k = key[own[at : at + len(texts)]]
                 words, of = _distinct(h, doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k), pa.array(_copies(h, doc, len(texts)).view(np.int64)), pa.array(toxic[np.searchsorted(keys, k)]), _lists(of, words, len(texts))],
-                    names=["key", "copies", "toxic", "words"],
+                    [pa.array(key[own[at : at + len(texts)]]), pa.array(_copies(h, doc, len(texts)).view(np.int64)), _lists(of, words, len(texts))], names=["key", "copies", "words"]
                 )
 
     return run
 
 
 def _held(toxic: np.ndarray, clean: np.ndarray, common: np.ndarray):
-    """key, copies, the number of toxic seeds and the distinct words that may be nodes of every text. All three sets are sorted."""
+    """copies, the number of toxic seeds and the distinct words that may be nodes of every text. All three sets are sorted."""
     common = np.setdiff1d(common, np.union1d(toxic, clean))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +113,7 @@ def _held(toxic: np.ndarray, clean: np.ndarray, common: np.ndarray):
                 words, of = _distinct(h[maybe], doc[maybe])
                 seeds = np.bincount(of[_among(words, toxic)], minlength=len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(at, len(texts)), pa.array(_copies(h, doc, len(texts)).view(np.int64)), pa.array(seeds.astype(np.int32)), _lists(of, words, len(texts))],
-                    names=["key", "copies", "seeds", "words"],
+                    [pa.array(_copies(h, doc, len(texts)).view(np.int64)), pa.array(seeds.astype(np.int32)), _lists(of, words, len(texts))], names=["copies", "seeds", "words"]
                 )
 
     return run
@@ -187,18 +170,16 @@ def _hashes(df: DataFrame) -> np.ndarray:
 def seeds(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
     """Hashes of the toxic and of the clean seed words, and h, n of the words known not to be toxic (None if there are no seeds); docs: key, text.
 
-    Clean seeds are as many as the toxic ones, at most as frequent among the labelled documents as the most frequent of
+    All labelled documents are read, however many there are. Clean seeds are as many as the toxic ones, at most as frequent among the labelled documents as the most frequent of
     those, no more toxic than the labelled documents on the whole, and of these the least toxic.
     """
     prepare(docs.sparkSession)
     none = np.empty(0, np.uint64), np.empty(0, np.uint64), None
-    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    table = marked.select(F.xxhash64("doc_id").alias("key"), "toxic").orderBy("key").limit(LABELLED).toArrow()
-    key, toxic = table["key"].to_numpy(), table["toxic"].to_numpy().astype(np.int32)
-    key, first = np.unique(key, return_index=True)
-    found = docs.mapInArrow(_labelled(key, toxic[first]), "key long, copies long, toxic int, words array<long>")
-    one = found.groupBy("copies").agg(F.max("toxic").alias("toxic"), F.min(F.struct("key", "words")).alias("one")).select("toxic", "one.words")
-    one = written(one, "labelled")
+    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.xxhash64("doc_id").alias("key")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = decontaminate.Filter(marked.select(F.col("key").alias("h")))
+    # what the filter lets through falsely goes in the join; copies have the same words, whichever is taken
+    found = docs.mapInArrow(_labelled(known), "key long, copies long, words array<long>").join(marked, "key")
+    one = written(found.groupBy("copies").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words")).select("toxic", "words"), "labelled")
     n, a = one.agg(F.count("*"), F.sum("toxic")).first()
     if not a:
         return none
@@ -213,11 +194,11 @@ def seeds(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, D
 
 
 def induce(docs: DataFrame, toxic: np.ndarray, clean: np.ndarray, known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the nodes, sorted, and their polarity, from what `seeds` gives. docs: key, text of all documents."""
+    """Hashes of the nodes, sorted, and their polarity, from what `seeds` gives. docs: key, text of all documents, each of which is counted, copies once."""
     common = _hashes(known.orderBy(F.desc("n"), "h").limit(COMMON))
-    held = docs.mapInArrow(_held(toxic, clean, common), "key long, copies long, seeds int, words array<long>")
-    one = held.groupBy("copies").agg(F.min(F.struct("key", "seeds", "words")).alias("one")).select("one.seeds", "one.words")
-    one = written(one, "distinct")
+    held = docs.select("text").mapInArrow(_held(toxic, clean, common), "copies long, seeds int, words array<long>")
+    # copies have the same words, whichever is taken
+    one = written(held.groupBy("copies").agg(F.max("seeds").alias("seeds"), F.min("words").alias("words")).select("seeds", "words"), "distinct")
     n_docs, holding = one.agg(F.count("*"), F.sum((F.col("seeds") > 0).cast("long"))).first()
     near = one.select((F.col("seeds") > 0).cast("long").alias("m"), F.explode("words").alias("h")).groupBy("h").agg(F.sum("m").alias("m"), F.count("*").alias("n"))
     near = near.where((F.col("m") >= LEAST_DOCS) & (F.col("m") >= PURITY * F.col("n")) & (_far("m", "n", holding / n_docs) >= DEVIATIONS))
@@ -273,8 +254,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score, n_words, toxic for every row of docs.
 
     score sums the weights, 0.5 to 1, of the distinct lexicon words of the whole text, n_words counts them, toxic says whether score
-    reaches TOXIC. Null and empty texts have score 0; very long ones are read whole. Null ids are scored like others, but have no labels. Copies,
-    repeated rows too, are counted once; of several labels of one document or its copies the greatest counts. Without labelled
+    reaches TOXIC. Null and empty texts have score 0; very long ones are read whole. Null ids are scored like others, but have no labels. Copies, which have the same words in the same order,
+    repeated rows too, are counted once; texts that differ in a word count each; of several labels of one document or its copies the greatest counts. Without labelled
     documents, or if no word is tied to toxic ones, all scores are 0. Of equally clean seed words the lesser hash is
     taken first. Words and doc_ids are known by hashes of 64 bits. Further columns are not read. An empty table gives no rows.
     """

@@ -372,6 +372,21 @@ def test_a_word_of_few_documents_counts_at_any_size(spark):
         assert found == {k for k in range(240) if k % 12 == 0}
 
 
+def test_texts_that_share_a_notice_count_each(spark, monkeypatch):
+    """A long notice makes no copies of different texts. All labels are read, and neither a full filter nor fewer words in the scan change a score."""
+    rng = random.Random(1)
+    common, notice = [f"c{k}" for k in range(1500)], " ".join(f"notice{k}" for k in range(400))
+    data = [(k, f"{notice} " + " ".join(rng.choice(common) for _ in range(30)) + " slur" * (k % 12 == 0)) for k in range(240)]
+    labels = spark.createDataFrame([(k, int(k % 12 == 0)) for k in range(200)], "doc_id long, toxic int")
+    scores = lambda: {r.doc_id: (r.score, r.toxic) for r in toxicity.score(docs_of(spark, data), labels).collect()}
+    found = scores()
+    assert {d for d, (_, toxic) in found.items() if toxic} == {k for k in range(240) if k % 12 == 0}
+    monkeypatch.setattr(toxicity, "LABELLED", 20, raising=False)  # the bound on labels that there was
+    monkeypatch.setattr(decontaminate, "FILTER", 6)
+    monkeypatch.setattr(toxicity, "COMMON", 1)
+    assert scores() == found
+
+
 def test_walk_matches_matrix_powers():
     import numpy as np
 
