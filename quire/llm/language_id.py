@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from quire.llm import blocks, tokens
 from quire.runtime import prepare
 
-#: N-grams in a profile; the bound on labelled documents that each language is learned from.
+#: N-grams in a profile; the number of labelled documents of each language that the SQL of op6_language_id learns from.
 PROFILE, PER_LANGUAGE = 300, 400
 #: A document is accepted if its best distance is no more than this, or than a lesser bound that is learned, and at least MIN_LETTERS of its visible characters are letters.
 MAX_DISTANCE, MIN_LETTERS = 0.8, 0.5
-#: The bound that is learned: this quantile of the distances of labelled documents to their own language, when the other half of
-#: them is learned from, and so much above it for short and unusual texts. It is never over MAX_DISTANCE.
+#: The bound that is learned: this quantile of the distances of all labelled documents of a language to it, when it is learned from the
+#: other half of them, of the language where it is greatest, and so much above it for short and unusual texts. It is never over MAX_DISTANCE.
 OWN_QUANTILE, OWN_SLACK = 0.99, 0.1
 _BITS, _PAD = 21, 32
 
@@ -83,74 +83,90 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs = np.array(batch.column("lang").to_pylist(), object)
+        langs, half = np.array(batch.column("lang").to_pylist(), object), batch.column("half").to_numpy()
         for at, texts in tokens.steps(batch.column("text").to_pylist()):
             doc, gram, count, _ = ngrams(texts)
-            for lang in sorted(set(langs[at : at + len(texts)])):
-                own = langs[at + doc] == lang
+            of, part = langs[at : at + len(texts)], half[at : at + len(texts)]
+            for lang, k in sorted(set(zip(of, part))):
+                own = ((of == lang) & (part == k))[doc]
                 g, where = np.unique(gram[own], return_inverse=True)
                 n = np.bincount(where, weights=count[own], minlength=len(g)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(np.full(len(g), k)), pa.array(g), pa.array(n)], names=["lang", "half", "gram", "n"])
 
 
-def _picked(docs: DataFrame, per_language: int) -> list[tuple[object, int]]:
-    """doc_id and place, from 1, of up to `per_language` labelled documents of each language, by the hash of doc_id."""
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    picked = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
-    return [(r.doc_id, r.k) for r in picked.groupBy("doc_id").agg(F.min("k").alias("k")).collect()]
-
-
-def _sample(docs: DataFrame, ids: list[object]) -> DataFrame:
-    return docs.where(F.col("doc_id").isin(ids)).where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+def _labelled(docs: DataFrame) -> DataFrame:
+    """lang, text and half, 0 or 1, of all labelled rows. Equal texts are in one half, so that none is held out from its own copies."""
+    return docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half"))
 
 
-def _profiles(sample: DataFrame, size: int) -> dict[str, list[int]]:
-    counts = sample.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= size).select("lang", "k", "gram").collect()
-    out: dict[str, list[int]] = {}
+def _picked(docs: DataFrame, per_language: int) -> DataFrame:
+    """The labelled rows of up to `per_language` documents of each language, those with the least hash of doc_id."""
+    named = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang")
+    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
+    picked = named.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+    return docs.where(F.col("doc_id").isin([r.doc_id for r in picked.select("doc_id").distinct().collect()]))
+
+
+def _profiles(labelled: DataFrame, size: int) -> list[dict[str, list[int]]]:
+    """The profiles from half 0, from half 1 and from all of the rows."""
+    prepare(labelled.sparkSession)
+    counts = labelled.mapInArrow(_counts, "lang string, half long, gram long, n long").groupBy("lang", "half", "gram").agg(F.sum("n").alias("n"))
+    counts = counts.select("lang", "gram", "n", F.explode(F.array("half", F.lit(2).cast("long"))).alias("part")).groupBy("part", "lang", "gram").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("part", "lang").orderBy(F.desc("n"), "gram")
+    top = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= size).select("part", "lang", "k", "gram").collect()
+    out: list[dict[str, list[int]]] = [{}, {}, {}]
     for r in sorted(top):
-        out.setdefault(r.lang, []).append(r.gram)
+        out[r.part].setdefault(r.lang, []).append(r.gram)
     return out
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, size: int = PROFILE) -> dict[str, list[int]]:
-    """The n-grams of each language of the column lang, most frequent first, from up to `per_language` documents of each.
+def train(docs: DataFrame, per_language: int | None = None, size: int = PROFILE) -> dict[str, list[int]]:
+    """The n-grams of each language of the column lang, most frequent first, from all labelled rows.
 
-    The documents are those with the least hash of doc_id; ties of count go to the lesser n-gram. What the driver gets
-    is bounded by the number of languages.
+    With `per_language` they are from up to so many documents of each, those with the least hash of doc_id. Ties of count
+    go to the lesser n-gram. What the driver gets is bounded by the number of languages.
     """
-    return _profiles(_sample(docs, [d for d, _ in _picked(docs, per_language)]), size)
+    return _profiles(_labelled(docs if per_language is None else _picked(docs, per_language)), size)[2]
 
 
-def _own(profiles: dict[str, list[int]], size: int):
-    """Distance of each text to the language it is labelled with."""
+def _own(halves: list[dict[str, list[int]]], size: int):
+    """Language and distance to it, rounded as `identify` does, of each labelled text, by the profiles of the half that it isn't in."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Profiles(profiles, size)
-        place = {lang: k for k, lang in enumerate(model.langs)}
+        models = [Profiles(p, size) for p in halves]
         for batch in batches:
-            at = np.array([place.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
-            for start, texts in tokens.steps(batch.column("text").to_pylist()):
-                own = at[start : start + len(texts)]
-                far = model.distances(texts)[0][np.arange(len(texts)), own]
-                yield pa.RecordBatch.from_arrays([pa.array(far[(own >= 0) & ~np.isnan(far)])], names=["distance"])
+            langs, half = batch.column("lang").to_pylist(), batch.column("half").to_numpy()
+            for k, model in enumerate(models):
+                place = {lang: i for i, lang in enumerate(model.langs)}
+                rows = np.array([i for i in np.flatnonzero(half == 1 - k) if langs[i] in place], np.int64)
+                own = np.array([place[langs[i]] for i in rows], np.int64)
+                for at, texts in tokens.steps(batch.column("text").take(pa.array(rows)).to_pylist()):
+                    of = own[at : at + len(texts)]
+                    far = model.distances(texts)[0][np.arange(len(texts)), of]
+                    some = ~np.isnan(far)
+                    yield pa.RecordBatch.from_arrays([pa.array([model.langs[i] for i in of[some]], pa.string()), pa.array(np.round(far[some], 6))], names=["lang", "distance"])
 
     return run
 
 
-def learn_bound(docs: DataFrame, per_language: int = PER_LANGUAGE, size: int = PROFILE, max_distance: float = MAX_DISTANCE) -> float:
-    """The distance up to which a text is taken for one of the languages, from the labelled documents that `train` picks.
+def learn(docs: DataFrame, size: int = PROFILE, max_distance: float = MAX_DISTANCE) -> tuple[dict[str, list[int]], float]:
+    """The profiles that `train` makes of all labelled rows, and the distance up to which a text is taken for one of the languages.
 
-    Every second one is held out from profiles of the others. Without any the bound is max_distance.
+    Each labelled row is measured once, by the profiles of the half that it isn't in. The driver gets one quantile of each
+    language. Without a language that both halves have the bound is max_distance.
     """
-    picked = _picked(docs, per_language)
-    profiles = _profiles(_sample(docs, [d for d, k in picked if k % 2]), size)
-    if not profiles:
-        return max_distance
-    held = _sample(docs, [d for d, k in picked if not k % 2]).mapInArrow(_own(profiles, size), "distance double").toArrow()["distance"].to_numpy()
-    return min(max_distance, float(np.quantile(held, OWN_QUANTILE)) + OWN_SLACK) if len(held) else max_distance
+    labelled = _labelled(docs)
+    *halves, whole = _profiles(labelled, size)
+    if not set(halves[0]) & set(halves[1]):
+        return whole, max_distance
+    held = labelled.mapInArrow(_own(halves, size), "lang string, distance double").groupBy("lang", "distance").count()
+    far = [r.far for r in held.groupBy("lang").agg(F.percentile("distance", OWN_QUANTILE, F.col("count")).alias("far")).collect()]
+    return whole, min(max_distance, max(far) + OWN_SLACK) if far else max_distance
+
+
+def learn_bound(docs: DataFrame, size: int = PROFILE, max_distance: float = MAX_DISTANCE) -> float:
+    """The distance up to which a text is taken for one of the languages, from all labelled rows, as `learn` says."""
+    return learn(docs, size, max_distance)[1]
 
 
 class Profiles:

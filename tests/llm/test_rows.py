@@ -88,6 +88,30 @@ def test_texts_of_no_learned_language_are_rejected(spark, sf_dir):
     assert language_id.learn_bound(docs.where("false")) == language_id.MAX_DISTANCE
 
 
+def test_bound_and_profiles_are_of_all_labelled_rows(spark):
+    """More rows than any number of documents picked by doc_id, some without one, against brute force."""
+    rng, size = random.Random(5), 60
+    letters = {"en": "etaoinshrd", "fr": "esaitnrulo"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 7)))
+    table = [(k if k % 5 else None, " ".join(word(lang) for _ in range(rng.randint(3, 25))), lang, None, None) for k in range(1300) for lang in ("en" if k % 9 else "fr",)]
+    docs = spark.createDataFrame(table + [(9, None, "en", None, None), (10, "quite other words", None, None, None)], SCHEMA)
+
+    def top(lang, of):
+        grams = Counter()
+        for _, text, own, _, _ in table:
+            for w in re.findall(r"[a-z]+", text if own == lang and of(text) else ""):
+                grams.update(f" {w} "[i : i + n] for n in (1, 2, 3) for i in range(len(w) + 3 - n) if f" {w} "[i : i + n] != " ")
+        count = {sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g)): n for g, n in grams.items()}
+        return sorted(count, key=lambda g: (-count[g], g))[:size]
+
+    half = {r.text: r.half for r in docs.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")).collect()}
+    profiles = [{lang: top(lang, lambda x: half[x] == k) for lang in letters} for k in (0, 1)]
+    far = {lang: [round(by_hand(x, profiles[1 - half[x]], size)[lang], 6) for _, x, own, _, _ in table if own == lang] for lang in letters}
+    want = max(np.quantile(x, language_id.OWN_QUANTILE) for x in far.values()) + language_id.OWN_SLACK
+    assert abs(language_id.learn_bound(docs, size=size, max_distance=2.0) - want) < 1e-6
+    assert language_id.train(docs, size=size) == {lang: top(lang, lambda x: True) for lang in letters}
+
+
 def test_language_edge_cases(spark):
     profiles = {"en": [ord(c) for c in "etao"], "xx": [ord(c) for c in "zq"]}
     got = language_id.identify(odd(spark), profiles).collect()
