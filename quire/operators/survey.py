@@ -185,20 +185,33 @@ def distinct_headings(c: DataFrame) -> DataFrame:
     return c.withColumn("_k", k).where("_k = 1").drop("_k")
 
 
+#: Letters whose presence is compared before edits are counted: an edit changes two of them at most.
+LETTERS = "etaonirslducmpgh"
+
+
+def _letters(word: Column) -> Column:
+    """The set of LETTERS in a word, as bits."""
+    bits = F.lit(0)
+    for k, c in enumerate(LETTERS):
+        bits = bits + F.when(F.contains(word, F.lit(c)), 1 << k).otherwise(0)
+    return bits
+
+
 def similar_words(counts: DataFrame, most: int = 2, times: int = 3) -> DataFrame:
     """doc_id, word, other, n, m: words whose neighbour within two edits is much more frequent in the same document.
 
-    The words of a document are joined on the forms that words within two edits share, so that only near words meet. Words of
-    any length take part.
+    Each word of a document meets its frequent words in place, within the document's row: no pair and no form is shuffled, and
+    length and letters decide for most pairs. The work grows with the square of one document's vocabulary, never of the corpus'.
+    Words of any length take part.
     """
-    from quire.operators.correction import forms, forms_near
-
-    if most > 2:
-        raise ValueError("words of up to two edits share a form")
-    rare = counts.select("doc_id", "word", "n", F.explode(forms_near(F.col("word"))).alias("form"))
-    often = counts.where(F.col("n") >= times).select("doc_id", F.col("word").alias("other"), F.col("n").alias("m"), F.explode(forms(F.col("word"))).alias("form"))
-    pairs = rare.join(often, ["doc_id", "form"]).where((F.col("m") >= times * F.col("n")) & (F.col("word") != F.col("other"))).select("doc_id", "word", "other", "n", "m").distinct()
-    return pairs.where(F.levenshtein("word", "other", most) >= 0)
+    if not 0 <= most <= 2:
+        raise ValueError("words of up to two edits are compared")
+    w = counts.where("doc_id IS NOT NULL AND word IS NOT NULL").select("doc_id", F.struct("word", "n", F.length("word").alias("size"), _letters(F.col("word")).alias("letters")).alias("w"))
+    by_doc = w.groupBy("doc_id").agg(F.collect_list("w").alias("all"), F.collect_list(F.when(F.col("w.n") >= times, F.col("w"))).alias("often"))
+    met = by_doc.select("doc_id", F.explode("all").alias("a"), "often").select("doc_id", "a", F.explode("often").alias("b"))
+    may = (F.abs(F.col("a.size") - F.col("b.size")) <= most) & (F.col("b.n") >= times * F.col("a.n")) & (F.bit_count(F.col("a.letters").bitwiseXOR(F.col("b.letters"))) <= 2 * most) & (F.col("a.word") != F.col("b.word"))
+    found = met.where(may).select("doc_id", F.col("a.word").alias("word"), F.col("b.word").alias("other"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
+    return found.where(F.levenshtein("word", "other", most) >= 0)
 
 
 def outline_quality(outline: DataFrame, pages: DataFrame) -> DataFrame:

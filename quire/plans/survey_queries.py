@@ -189,7 +189,9 @@ _WORDS = "SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_
 @query("similar_words", f"""SELECT a.doc_id, a.word, b.word AS other, a.n, b.n AS m FROM ({_WORDS}) a JOIN ({_WORDS}) b ON a.doc_id = b.doc_id AND b.n >= 3 AND b.n >= 3 * a.n AND a.word <> b.word AND abs(length(a.word) - length(b.word)) <= 2
     WHERE levenshtein({_BYTE.format(w='a.word')}, {_BYTE.format(w='b.word')}) <= 2""")
 def similar_words(t: Tables) -> DataFrame:
-    found = t.docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}]+"), F.lit(0))).alias("word"))
+    # texts of one document together: its words are counted where they are
+    texts = t.table("documents").select("doc_id", "text").repartition("doc_id")
+    found = texts.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}]+"), F.lit(0))).alias("word"))
     return survey.similar_words(found.groupBy("doc_id", "word").agg(F.count("*").alias("n")))
 
 

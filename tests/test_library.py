@@ -350,3 +350,28 @@ def test_error_rates_read_whole_texts(spark, tmp_path):
     for name, by_hand, cut in (("word_error_rate", edits_by_table, lambda x: x.lower().split()), ("character_error_rate", edits_by_table, str.lower), ("aligned_error_rate", aligned, str)):
         got = {r.doc_id: r.rate for r in library.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == {k: round(by_hand(cut(x), cut(damaged[k])) / max(1, len(cut(x))), 6) for k, x in enumerate(texts)} and got[0] > 0
+
+
+# -- words that are near each other
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_similar_words_equal_brute_force_and_meet_in_place(spark):
+    words_of = {1: {"seinen": 9, "seinem": 3, "sinen": 2, "meinem": 1, "x": 4, "y": 1, "straße": 6, "strasse": 2, "q" * 40: 5, "q" * 38: 1}, 2: {"seinem": 1, "abcdef": 3, "abcfed": 1, "": 1}}
+    rows = [(d, w, n) for d, ws in words_of.items() for w, n in ws.items()] + [(None, "seinem", 1), (None, "seinen", 9)]
+    got = survey.similar_words(spark.createDataFrame(rows, "doc_id long, word string, n long"))
+    want = {(d, a, b, n, m) for d, ws in words_of.items() for a, n in ws.items() for b, m in ws.items() if a != b and m >= 3 and m >= 3 * n and edits(a, b) <= 2}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert exchanges(got) <= 2  # the counts by document; forms of words are not shuffled
