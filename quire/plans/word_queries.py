@@ -9,6 +9,7 @@ from quire.functions import text as tx
 from quire.functions import vocabulary
 from quire.operators import words
 from quire.plans.registry import Tables, query
+from quire.runtime import written
 
 
 def _lex(t: Tables) -> DataFrame:
@@ -77,7 +78,7 @@ def morphology_score(t: Tables) -> DataFrame:
 
 @query("word_validity", _judge(_LONG))
 def word_validity(t: Tables) -> DataFrame:
-    return words.judge(_tokens(t).where("length(word) >= 2"), _lex(t))
+    return words.judge(words.cleaned(t.degraded).where("length(word) >= 2"), _lex(t))
 
 
 @query("legacy_words", "SELECT doc_id, pos::INT AS pos, regexp_replace(lower(token), '[^\\p{L}\\p{N}_]', '', 'g') AS word FROM d_tokens")
@@ -86,7 +87,7 @@ def legacy_words(t: Tables) -> DataFrame:
 
 
 def _errors(t: Tables, mode: str) -> DataFrame:
-    return words.detect(_tokens(t), _lex(t), mode).where("status = 'error'").select("doc_id", "pos", "token", "word", "confidence")
+    return words.errors(t.degraded, _lex(t), mode)
 
 
 @query("ocr_errors_new", f"SELECT doc_id, pos::INT AS pos, token, word, confidence FROM ({_detect('new')}) WHERE status = 'error'")
@@ -105,7 +106,7 @@ _STATS = f"""SELECT doc_id, count(*) AS words_checked, count(*) FILTER (WHERE st
 
 @query("detect_stats", _STATS)
 def detect_stats(t: Tables) -> DataFrame:
-    return words.statistics(words.detect(_tokens(t), _lex(t)))
+    return words.text_statistics(t.degraded, _lex(t))
 
 
 @query("quality_level", f"""SELECT doc_id, round(rate, 6) AS error_rate, CASE WHEN errors > 0 AND rate > 0.05 THEN 'bad' WHEN errors > 0 AND rate > 0.02 THEN 'marginal' ELSE 'good' END AS level,
@@ -116,7 +117,8 @@ def quality_level(t: Tables) -> DataFrame:
 
 @query("needs_reocr", f"SELECT doc_id, string_agg(DISTINCT (pos // 100)::VARCHAR, ',' ORDER BY (pos // 100)::VARCHAR) AS pages FROM ({_detect('new')}) WHERE status = 'error' GROUP BY doc_id")
 def needs_reocr(t: Tables) -> DataFrame:
-    found = _errors(t, "new").select("doc_id", F.floor(F.col("pos") / 100).cast("string").alias("page"))
+    doubtful = words.tokens(t.degraded).where((F.length("word") >= words.LEAST_WORD) & ~words.scholarly(F.col("word")))
+    found = doubtful.join(words.listed(_lex(t).select("word")), "word", "left_anti").select("doc_id", F.floor(F.col("pos") / 100).cast("string").alias("page"))
     return found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("page")), ",").alias("pages"))
 
 
@@ -132,7 +134,9 @@ def _judged(of: str, limits: bool) -> str:
 
 
 def _breaks(t: Tables, limits: bool = True) -> DataFrame:
-    return words.judge_breaks(words.break_candidates(t.degraded), _lex(t), (3, 25) if limits else None)
+    # a small table that is read several times, made from all texts
+    found = written(words.break_candidates(t.degraded), "breaks")
+    return words.judge_breaks(found, _lex(t), (3, 25) if limits else None)
 
 
 @query("linebreak_candidates_text", f"SELECT doc_id, k::INT AS k, fragment1, fragment2, joined, confidence, should_join, reason FROM ({_judged(_BREAKS, True)})")

@@ -375,3 +375,29 @@ def test_similar_words_equal_brute_force_and_meet_in_place(spark):
     want = {(d, a, b, n, m) for d, ws in words_of.items() for a, n in ws.items() for b, m in ws.items() if a != b and m >= 3 and m >= 3 * n and edits(a, b) <= 2}
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert exchanges(got) <= 2  # the counts by document; forms of words are not shuffled
+
+
+# -- words are read once
+
+
+@pytest.mark.parametrize(("mode", "sure"), [("new", False), ("legacy", False), ("new", True)])
+def test_statistics_of_texts_are_those_of_their_tokens(spark, mode, sure):
+    docs = docs_of(spark, "tbe dasein aeb's --", "", " '\n' ", "ΑΣ. ΑΣ a\u0301É e\u0301 \u0301x 'ae' ba eb eb a-e b'", "1 _ a\x0bb a\x85e")
+    lex = spark.createDataFrame([("a", 9), ("ae", 9), ("aeb's", 5)], "word string, freq long")
+    learned = spark.createDataFrame([("eb", 0.9), ("ba", 0.1)], "word string, confidence double") if sure else None
+    want = words.statistics(words.detect(words.tokens(docs), lex, mode, learned=learned))
+    got = words.text_statistics(docs, lex, mode, learned=learned)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    if not sure:
+        errors = words.detect(words.tokens(docs), lex, mode).where("status = 'error'")
+        assert sorted(map(tuple, words.errors(docs, lex, mode).collect())) == sorted(map(tuple, errors.select("doc_id", "pos", "token", "word", "confidence").collect()))
+
+
+def test_words_are_judged_in_one_pass(spark, tmp_path):
+    docs_of(spark, "walking talks").write.parquet(f"{tmp_path}/docs")
+    docs, lex = spark.read.parquet(f"{tmp_path}/docs"), spark.createDataFrame([("walk", 9)], "word string, freq long")
+    judged = words.judge(words.tokens(docs), lex)
+    assert judged._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {r.word: (r.known, r.morphology) for r in judged.collect()} == {"walking": (False, 0.85), "talks": (False, 0.0)}
+    counted = words.lexicon(docs, 1)
+    assert {r.word: r.freq for r in counted.collect()} == {"walking": 1, "talks": 1}
