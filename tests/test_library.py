@@ -377,6 +377,34 @@ def test_similar_words_equal_brute_force_and_meet_in_place(spark):
     assert exchanges(got) <= 2  # the counts by document; forms of words are not shuffled
 
 
+def test_capitals_are_those_of_sql(spark):
+    import duckdb
+
+    odd = [c for c in map(chr, range(32, 0x2FFFF)) if len(c.upper()) > 1] + ["straße", "abc", "é"]
+    rows = spark.createDataFrame([(k, "a" + w) for k, w in enumerate(odd)], "k int, w string").select("k", tx.upper(F.col("w")).alias("u")).collect()
+    assert {r.k: r.u for r in rows} == {k: duckdb.execute("SELECT upper(?)", ["a" + w]).fetchone()[0] for k, w in enumerate(odd)}
+    lex = spark.createDataFrame([("straße", 9, 9, 1.0)], "word string, doc_freq long, freq long, zipf double")
+    assert correction.spelled(docs_of(spark, "(STRASE) strase Strase,"), lex).first().text == "(STRAẞE) straße Strase,"
+
+
+def test_forms_of_the_lexicon_are_not_broadcast(spark):
+    lex = spark.createDataFrame([("word", 9, 9, 1.0)], "word string, doc_freq long, freq long, zipf double")
+    words_of = spark.createDataFrame([("wrod",), ("ward",)], "word string")
+    found = correction.corrections(words_of, lex)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [form" in plan and "BroadcastHashJoin [form" not in plan
+    assert sorted((r.word, r.distance) for r in found.collect()) == [("ward", 1), ("wrod", 2)]
+
+
+def test_corrected_texts_stay_whole(spark):
+    lex = spark.createDataFrame([("silver", 9, 9, 3.0)], "word string, doc_freq long, freq long, zipf double")
+    docs = docs_of(spark, "silvr\n and «silvr», SILVR x", " \n", "none here", None)
+    got = {r.doc_id: (r.text, r.n_changed) for r in correction.spelled(docs, lex).collect()}
+    assert got == {0: ("silver and «silver», SILVER x", 3), 2: ("none here", 0)}
+    got = {r.doc_id: (r.text, r.n_changed, r.n_applied, r.n_review + r.n_skipped) for r in correction.corrected(docs, lex).collect()}
+    assert got == {0: ("silver and «silver», SILVER x", 3, 3, 0), 2: ("none here", 0, 0, 0)}
+
+
 # -- words are read once
 
 
