@@ -105,8 +105,12 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+#: The same matches as the mark's, but words without a hyphen behind them are passed over once, not from each of their letters.
+_QUICK = {"broken_hyphenation": "(?<![\\p{L}\\p{N}_])[\\p{L}\\p{N}_]++-[ \\t\\n\\r\\f]++[\\p{L}\\p{N}_]++"}
+
+
 def mark_counts(text: Column) -> dict[str, Column]:
-    return {name: count(text, pattern) for name, pattern in MARKS.items()}
+    return {name: count(text, _QUICK.get(name, pattern)) for name, pattern in MARKS.items()}
 
 
 def whole(pattern: str) -> str:
@@ -118,20 +122,29 @@ def whole(pattern: str) -> str:
 GARBAGE = ("[^\\x{0}-\\x{7f}\\x{c0}-\\x{24f}\\x{370}-\\x{3ff}\\x{1f00}-\\x{1fff}]", "[\\x{0}-\\x{8}\\x{b}\\x{c}\\x{e}-\\x{1f}]", "[⁰¹²³⁴⁵⁶⁷⁸⁹]+[a-z]+", whole("[A-Z]{10,}"), "[|!1l]{5,}", "[oO0]{5,}")
 
 
-def garbage(text: Column) -> Column:
-    """Number of matches of the patterns of garbage."""
+#: Characters without which no text has garbage of the first and third kind, Greek, or raised numbers.
+ODD = "[^\\x{0}-\\x{7f}\\x{c0}-\\x{24f}]"
+
+
+def garbage(text: Column, odd: Column) -> Column:
+    """Number of matches of the patterns of garbage; odd says whether the text has any of the characters of ODD."""
     total = F.lit(0).cast("long")
-    for p in GARBAGE:
-        total = total + count(text, p)
+    for k, p in enumerate(GARBAGE):
+        total = total + (F.when(odd, count(text, p)).otherwise(0) if k in (0, 2) else count(text, p))
     return total
 
 
-def valid_word_ratio(text: Column) -> Column:
-    """The share of words of three letters or more that are common, or have a vowel and a consonant and no letter four times in a row."""
-    alpha = F.regexp_extract_all(F.lower(text), F.lit(whole("[a-z]{3,}")), F.lit(0))
-    looks = lambda w: F.regexp_like(w, F.lit("[aeiou]")) & F.regexp_like(w, F.lit("[b-df-hj-np-tv-z]")) & ~F.regexp_like(w, F.lit("(.)\\1{3,}"))
-    good = F.filter(alpha, lambda w: w.isin(sorted(vocabulary.COMMON)) | looks(w))
-    return F.when(F.size(alpha) == 0, 0.0).otherwise(F.round(F.size(good) / F.size(alpha), 6))
+_VOWEL, _CONSONANT = "[aeiou]", "[b-df-hj-np-tv-z]"
+#: Words of three letters or more; those of one kind of letter; those of both kinds with a letter four times in a row.
+_WORD, _ONE_KIND = whole("[a-z]{3,}+"), whole(f"{_VOWEL}{{3,}}+|{_CONSONANT}{{3,}}+")
+_RUN = f"(?<![\\p{{L}}\\p{{N}}_])(?=[a-z]{{3,}}+(?![\\p{{L}}\\p{{N}}_]))(?=[a-z]*{_VOWEL})(?=[a-z]*{_CONSONANT})[a-z]*?([a-z])\\1{{3}}[a-z]*+"
+
+
+def word_counts(low: Column) -> tuple[Column, Column]:
+    """Numbers of words of three letters or more of a text in small letters, and of those that don't look like words:
+    without a vowel or a consonant, or with a letter four times in a row. Common words all look like words."""
+    runs = F.when(F.regexp_like(low, F.lit("([a-z])\\1{3}")), count(low, _RUN)).otherwise(0)
+    return count(low, _WORD), count(low, _ONE_KIND) + runs
 
 
 # -- cleaning for embeddings

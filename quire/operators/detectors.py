@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from quire.functions import text as tx
 from quire.functions import vocabulary
+from quire.operators.words import listed
 
 PAGE_WIDTH = 612.0
 
@@ -76,9 +77,10 @@ def outline_matches(outline: DataFrame, pages: DataFrame, most: int = 20) -> Dat
 
 def error_rates(pages: DataFrame, lex: DataFrame, least: int = 10) -> DataFrame:
     """doc_id, page_index, n_words, n_unknown, rate: distinct unknown words of three letters or more by all words; pages of few words are left out."""
-    found = pages.select("doc_id", "page_index", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}]{3,}"), F.lit(0))).alias("word"))
+    whole = pages.select("doc_id", "page_index", "text").repartition("doc_id")  # words are counted where their page is
+    found = whole.select("doc_id", "page_index", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}]{3,}"), F.lit(0))).alias("word"))
     counts = found.groupBy("doc_id", "page_index", "word").agg(F.count("*").alias("n"))
-    marked = counts.join(lex.select("word", F.lit(True).alias("known")), "word", "left")
+    marked = counts.join(listed(lex.select("word", F.lit(True).alias("known"))), "word", "left")
     g = marked.groupBy("doc_id", "page_index").agg(F.sum("n").alias("n_words"), F.count_if(F.col("known").isNull()).alias("n_unknown"))
     return g.where(F.col("n_words") >= least).withColumn("rate", F.round(F.col("n_unknown") / F.col("n_words"), 6))
 
@@ -108,11 +110,16 @@ def skip_reasons(tokens: DataFrame, lex: DataFrame) -> DataFrame:
     return w.groupBy(reason.alias("reason")).agg(F.sum("n").alias("n"))
 
 
-def error_pairs(evidence: Column) -> Column:
-    """wrong and right of a note of the form 'wrong → right', null for others."""
-    pattern = "[\"']?([\\p{L}\\p{N}_'-]+)[\"']?[ \\t]*(?:→|->)[ \\t]*[\"']?([\\p{L}\\p{N}_'-]+)"
-    part = lambda k: F.regexp_extract(evidence, pattern, k)
-    return F.when(part(1) != "", F.struct(part(1).alias("wrong"), part(2).alias("right")))
+_PART = "[\\p{L}\\p{N}_'-]"
+#: Tried at the first letter of a word and at quotes, where the first match begins.
+_PAIR = f"(?:(?<!{_PART})|(?=\"))[\"']?({_PART}+)[\"']?[ \\t]*(?:→|->)[ \\t]*[\"']?({_PART}+)"
+
+
+def error_pairs(notes: DataFrame, evidence: Column) -> DataFrame:
+    """notes with wrong and right of evidence of the form 'wrong → right'; others are left out. The note is searched once."""
+    found = notes.select("*", F.explode(F.array(F.regexp_extract(evidence, _PAIR, 0))).alias("_m")).where("_m <> ''")
+    part = lambda k: F.regexp_extract("_m", _PAIR, k)
+    return found.withColumns({"wrong": part(1), "right": part(2)}).drop("_m")
 
 
 def _same(x: Sequence, y: Sequence, i: int, j: int) -> int:

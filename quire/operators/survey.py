@@ -18,22 +18,26 @@ def page_quality(pages: DataFrame) -> DataFrame:
     garbage is n_garbage by n_chars. A page of white space has no text layer: no characters, and that as its only issue. Issues that
     images would show aren't known here. verdict is this package's own class of a page, by garbage and valid.
     """
-    text, low = F.col("text"), F.lower("text")
+    text, low = F.col("text"), F.col("low")
     blank = ~F.regexp_like("text", F.lit("[^ \\t\\n\\r\\f]"))
     has = lambda of, pattern: F.regexp_like(of, F.lit(pattern))
-    p = pages.select(
-        "doc_id", "page_index", "text", blank.alias("blank"), F.size(tx.words(text)).alias("n_words"), F.when(blank, 0).otherwise(F.length(text)).alias("n_chars"),
-        F.when(blank, F.lit(0).cast("long")).otherwise(tx.garbage(text)).alias("n_garbage"), F.when(blank, 0.0).otherwise(tx.valid_word_ratio(text)).alias("valid"),
+    # what several columns need is a column of its own: an expression in branches is worked out in each of them
+    p = pages.select("doc_id", "page_index", "text", F.lower("text").alias("low"), blank.alias("blank"), F.regexp_count(text, F.lit("[^ \\t\\n\\r\\f]+")).alias("n_words"), F.regexp_like("text", F.lit(tx.ODD)).alias("odd"))
+    n, bad = tx.word_counts(low)
+    p = p.select("*", tx.garbage(text, F.col("odd")).alias("marks"), n.alias("alpha"), bad.alias("unlike"))
+    p = p.select(
+        "doc_id", "page_index", "text", "low", "odd", "blank", "n_words", F.when(F.col("blank"), 0).otherwise(F.length(text)).alias("n_chars"), F.when(F.col("blank"), F.lit(0).cast("long")).otherwise(F.col("marks")).alias("n_garbage"),
+        F.when(F.col("blank") | (F.col("alpha") == 0), 0.0).otherwise(F.round((F.col("alpha") - F.col("unlike")) / F.col("alpha"), 6)).alias("valid"),
     )
     p = p.withColumn("garbage", F.when(F.col("n_chars") == 0, 0.0).otherwise(F.round(F.col("n_garbage").cast("double") / F.col("n_chars"), 6)))
     raised = "[⁰¹²³⁴⁵⁶⁷⁸⁹]+"
     floating = has(text, raised) & ~has(text, raised + "[ \\t\\n\\r\\f]*$") & has(text, f"[ \\t\\n\\r\\f]{raised}[ \\t\\n\\r\\f]")
     issues = F.array_compact(
         F.array(
-            F.when(has(text, "[α-ω]{16,}"), "garbled_greek"),
+            F.when(F.col("odd") & has(text, "[α-ω]{16,}"), "garbled_greek"),
             F.when(has(text, "[äöüÄÖÜß]{2}"), "umlaut_errors"),
             F.when((F.col("page_index") < 50) & ~has(low, tx.whole("[ivxlcdm]{2,}")) & has(low, tx.whole("[1il][vx]")), "roman_numeral_confusion"),
-            F.when(floating, "floating_superscripts"),
+            F.when(F.col("odd") & floating, "floating_superscripts"),
             F.when(has(low, tx.whole("[a-z]{20,}")), "merged_words"),
             F.when(has(text, "[\\p{L}\\p{N}_]-[ \\t\\r\\f]*\\n[ \\t\\n\\r\\f]*[\\p{L}\\p{N}_]"), "broken_hyphenation"),
             F.when(F.col("garbage") > 0.05, "high_garbage_ratio"),
@@ -41,7 +45,9 @@ def page_quality(pages: DataFrame) -> DataFrame:
         )
     )
     verdict = F.when(F.col("n_words") < 10, "SKIP").when((F.col("garbage") > 0.02) | (F.col("valid") < 0.5), "BAD").when((F.col("garbage") > 0.005) | (F.col("valid") < 0.8), "MARGINAL").otherwise("GOOD")
-    return p.select("doc_id", "page_index", "n_words", "n_chars", "n_garbage", "garbage", "valid", F.when(F.col("blank"), "no_text_layer").otherwise(F.array_join(issues, ",")).alias("issues"), verdict.alias("verdict"))
+    out = F.struct("doc_id", "page_index", "n_words", "n_chars", "n_garbage", "garbage", "valid", F.when(F.col("blank"), "no_text_layer").otherwise(F.array_join(issues, ",")).alias("issues"), verdict.alias("verdict"))
+    # a filter on a verdict doesn't pass the explosion, else it would work out all of its patterns again
+    return p.select(F.inline(F.array(out)))
 
 
 def assess(pages: DataFrame) -> DataFrame:

@@ -100,8 +100,8 @@ _PAIR = """'["'']?([\\p{L}\\p{N}_''-]+)["'']?[ \\t]*(?:→|->)[ \\t]*["'']?([\\p
 @query("error_pairs", f"""SELECT * FROM (SELECT doc_id, pos::INT AS pos, regexp_extract(e, {_PAIR}, 1) AS wrong, regexp_extract(e, {_PAIR}, 2) AS "right" FROM (
     SELECT doc_id, pos, 'seen: ' || token || ' → ' || word AS e FROM d_tokens)) WHERE wrong <> ''""")
 def error_pairs(t: Tables) -> DataFrame:
-    found = words.tokens(t.degraded).select("doc_id", "pos", de.error_pairs(F.concat(F.lit("seen: "), "token", F.lit(" → "), "word")).alias("p")).where("p IS NOT NULL")
-    return found.select("doc_id", "pos", "p.wrong", "p.right")
+    found = de.error_pairs(words.tokens(t.degraded), F.concat(F.lit("seen: "), "token", F.lit(" → "), "word"))
+    return found.select("doc_id", "pos", "wrong", "right")
 
 
 def _both(t: Tables) -> DataFrame:

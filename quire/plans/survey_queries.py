@@ -16,9 +16,13 @@ _PAGES = "SELECT doc_id, (line_no // 8)::BIGINT AS page_index, string_agg(text,
 
 
 def _pages(t: Tables) -> DataFrame:
-    split = layout.lines(t.degraded).withColumn("page_index", F.floor(F.col("line_no") / 8))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x.text)
-    return split.groupBy("doc_id", "page_index").agg(F.array_join(ordered, "\n").alias("text"))
+    """doc_id, page_index, text: a text cut after each eight lines, within its row; what follows the last cut is a page too, an empty one as well."""
+    cut = F.regexp_extract_all("text", F.lit("(?:[^\\n]*+\\n){8}|(?s:.+)\\z"), F.lit(0))
+    full = lambda page: F.regexp_count(page, F.lit("\\n")) == 8
+    some = t.degraded.where(F.col("text").isNotNull()).select("doc_id", cut.alias("cut"))
+    ended = F.coalesce(full(F.try_element_at("cut", F.lit(-1))), F.lit(True))
+    of = some.select("doc_id", F.posexplode(F.concat("cut", F.when(ended, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))).alias("page_index", "page"))
+    return of.select("doc_id", F.col("page_index").cast("long").alias("page_index"), F.when(full("page"), F.substring("page", F.lit(1), F.length("page") - 1)).otherwise(F.col("page")).alias("text"))
 
 
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
@@ -129,7 +133,8 @@ def review_batches(t: Tables) -> DataFrame:
 @query("sampled_words", """SELECT doc_id, array_to_string(CASE WHEN len(w) <= 20 THEN w ELSE list_transform(range(20), lambda i: w[floor(i * (len(w) / 20))::BIGINT + 1]) END, ' ') AS words FROM (
     SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS w FROM documents)""")
 def sampled_words(t: Tables) -> DataFrame:
-    return t.docs.select("doc_id", F.array_join(survey.evenly(tx.words(F.col("text")), 20), " ").alias("words"))
+    # cut once: items that are an expression would be worked out anew for each one that is taken
+    return t.docs.select("doc_id", tx.words(F.col("text")).alias("w")).select("doc_id", F.array_join(survey.evenly(F.col("w"), 20), " ").alias("words"))
 
 
 @query("percentile_buckets", f"""SELECT doc_id, page_index, CASE WHEN r < 0.5 THEN 'GOOD' WHEN r < 0.75 THEN 'MARGINAL' WHEN r > 0.9 THEN 'REOCR' ELSE 'BAD' END AS bucket FROM (
