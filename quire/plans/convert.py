@@ -1,4 +1,4 @@
-"""A corpus converted as a whole: every table of the result is one lazy plan over the documents' pages."""
+"""A corpus converted as a whole: repaired texts and judged line breaks are written once, the tables of the result are lazy plans over them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import spans, structure, words
+from quire.runtime import written
 from quire.settings import Conversion
 
 
@@ -17,15 +18,13 @@ def convert(pages: DataFrame, blocks: DataFrame, outline: DataFrame, lexicon: Da
     """
     whole = spans.whole_text(pages)
     placed = spans.page_spans(pages)
-    judged = words.judge_breaks(words.break_candidates(whole), lexicon)
-    texts = words.apply_breaks(whole, judged)
+    judged = written(words.judge_breaks(written(words.break_candidates(whole), "breaks"), lexicon), "judged")
+    texts = written(words.apply_breaks(whole, judged), "texts")
     new = words.learn(judged, lexicon)
     known = new if learned is None else new.unionByName(learned)
     r = settings.reading
-    found = words.detect(words.tokens(texts), lexicon, r.mode if r.enabled else "legacy", r.vocabulary, known, r.least_length)
-    sure = F.col("confidence") >= (r.least_confidence if r.enabled else 0.0)
-    found = found.withColumn("status", F.when((F.col("status") == "error") & ~sure, "valid").otherwise(F.col("status")))
-    quality = words.quality_level(words.statistics(found))
+    found = words.text_statistics(texts, lexicon, r.mode if r.enabled else "legacy", r.vocabulary, known, r.least_length, r.least_confidence if r.enabled else 0.0)
+    quality = words.quality_level(found)
     outlined = structure.outline_candidates(outline, placed)
     headed = structure.heading_candidates(blocks, placed).select(structure.CANDIDATE)
     candidates = structure.cascade(outlined, headed) if settings.headings == "fonts" else outlined

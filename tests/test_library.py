@@ -470,3 +470,12 @@ def test_evidence_is_searched_once_and_words_are_cut_once(spark, sf_dir):
     assert got == {d: (a, b) for d, a, b in rows if a}
     plan = survey_queries.sampled_words(Tables(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_conversion_reads_its_repaired_texts_from_a_table(spark):
+    docs = docs_of(spark, "a walk-\ning man\n" * 3, "walk man", "walk a man")
+    lex = spark.createDataFrame([(w, 9, 9, 3.0) for w in ("walk", "man")], "word string, doc_freq long, freq long, zipf double")
+    tables = convert(layout.pages(docs), layout.blocks(docs), layout.outline(docs), lex)
+    plan = tables["quality"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan  # line breaks aren't looked for again
+    assert {r.doc_id: r.text for r in tables["documents"].collect()}[0].count("walking") == 3
